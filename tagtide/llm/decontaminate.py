@@ -43,7 +43,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, k: int
     hashed = sets.select("item_id", F.expr(f"array_sort(transform(set, s -> xxhash64({words_of})))").alias("hs"), F.expr("cast(pow(2, ceil(log2(size(set)))) as int)").alias("upper"))
     signature = hashed.select(F.explode(F.expr(f"slice(hs, 1, upper - ((upper * {percent} + 99) div 100) + 1)")).alias("h"), "item_id")
     signature = small(cut(signature.distinct()), max_signatures)
-    ws = docs.select("doc_id", F.transform(words(fold(F.col("text"))), F.xxhash64).alias("w"))
+    ws = docs.select("doc_id", F.transform(words(fold(F.col("text"))), lambda w: F.xxhash64(w)).alias("w"))
     probes = ws.select("doc_id", F.explode(F.expr(_hashes("w", k))).alias("h"))
     pairs = cut(probes.join(signature, "h").select("doc_id", "item_id").distinct())
     candidates = small(pairs.select("doc_id").distinct(), max_documents)
@@ -62,8 +62,8 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def sql(percent: int = 80, k: int = 5) -> str:
     def sets(name, key):
-        return rf"""select distinct {key}, unnest(list_transform(range(1, len(w) - {k} + 2), i -> array_to_string(w[i : i + {k - 1}], ' '))) g
-    from (select {key}, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') w from {name}) where len(w) >= {k}"""
+        return rf"""select distinct {key}, unnest(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k - 1}], ' '))) g
+    from (select {key}, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from {name}) where len(w) >= {k}"""
 
     return f"""
 with d as ({sets('documents', 'doc_id')}), b as ({sets('benchmark', 'item_id')}), n as (select item_id, count(*) n from b group by 1),

@@ -103,7 +103,7 @@ def _digests(spark: SparkSession, entries: list[tuple[str, str]]) -> list[tuple[
 
 def _sql_canonical(text: str) -> str:
     low = reduce(lambda t, p: f"replace({t}, '{p[0]}', '{p[1]}')", SPELLINGS, f"lower({text})")
-    return rf"trim(regexp_replace(array_to_string(list_filter(string_split({low}, chr(10)), line -> not regexp_matches(line, '{NOTICE}')), ' '), '[^\pL\p{{Nd}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(array_to_string(list_filter(string_split({low}, chr(10)), lambda line: not regexp_matches(line, '{NOTICE}')), ' '), '[^\pL\p{{Nd}}]+', ' ', 'g'))"
 
 
 def sql() -> str:

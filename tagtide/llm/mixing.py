@@ -13,7 +13,9 @@ third of all rows is spread over 2**bits groups.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.llm.common import cut, small, words
@@ -40,15 +42,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat:
     return levelled.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(last * F.col("weight"))).select("source", "source_size", "src", "target")
 
 
-def apportion(items: DataFrame, seats) -> DataFrame:
-    """(src, target, ...) -> with quota: `seats` given to the highest quotients target/(2k+1), ties to the smaller src.
+def apportion(items: DataFrame, seats: Callable[[Column], Column]) -> DataFrame:
+    """(src, target, ...) -> with quota: seats(sum of targets) given to the highest quotients target/(2k+1), ties to the smaller src.
 
     A first allotment at a divisor surely too large is followed by the quotients up to a divisor surely
     too small: about three per item are ranked.
     """
     whole = Window.partitionBy()
     n, total = F.count(F.lit(1)).over(whole), F.sum("target").over(whole)
-    sized = items.withColumn("_k", seats.over(whole) if not isinstance(seats, int) else F.lit(seats)).withColumn("_n", n).withColumn("_t", total)
+    sized = items.withColumn("_n", n).withColumn("_t", total).withColumn("_k", seats(F.col("_t")).cast("long"))
     low = F.when((F.col("_k") > F.col("_n")) & (F.col("_t") > 0), F.greatest(F.floor(F.col("target") * (F.col("_k") - F.col("_n")) / F.col("_t") + 0.5) - 1, F.lit(0))).otherwise(F.lit(0)).cast("long")
     high = F.when(F.col("_t") > 0, F.floor(F.col("target") * (F.col("_k") + F.col("_n")) / F.col("_t") + 0.5) + 1).otherwise(F.lit(0)).cast("long")
     bounded = sized.withColumn("_low", low).withColumn("_high", high).withColumn("_rest", F.col("_k") - F.sum(low).over(whole))
@@ -67,7 +69,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     """
     sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    planned = apportion(targets(sizes, weights, max_repeat), F.round(F.sum("target") / block).cast("long"))
+    planned = apportion(targets(sizes, weights, max_repeat), lambda total: F.round(total / block))
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     plan = cut(planned.withColumn("blocks", blocks).withColumn("quota", F.least("quota", F.lit(max_repeat) * F.col("blocks"))).withColumn("passes", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("quota") - F.col("passes") * F.col("blocks")))
     shards = plan.filter("blocks > 0").select("src", "blocks", "rest", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {shard_blocks})")).alias("shard"))
@@ -95,7 +97,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
 def sql(block: int = 64, shard_blocks: int = 1024, seed: int = 17, max_repeat: int = 3) -> str:
     """DuckDB's form: blocks and quotients are rows there."""
     return rf"""
-with sized as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> ''))::BIGINT size from documents),
+with sized as (select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT size from documents),
 ranked as (select source, sum(size)::BIGINT source_size, row_number() over (order by source nulls last) - 1 src from sized group by source),
 caps as (select *, case src % 3 when 0 then 5 when 1 then 2 else 1 end weight, {max_repeat} * source_size cap from ranked),
 levels as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, src rows between unbounded preceding and 1 preceding), 0))::DOUBLE

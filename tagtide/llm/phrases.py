@@ -247,13 +247,13 @@ def _pack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sql(width: int = 50) -> str:
     """DuckDB's form, quadratic in nothing but large: every window is a row."""
     return rf"""
-with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') w from documents),
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
 win as (select doc_id, i, array_to_string(w[i : i + {width - 1}], ' ') g from (select doc_id, w, unnest(range(1, len(w) - {width} + 2)) i from w where len(w) >= {width})),
 gone as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) f from win) where doc_id > f),
 cover as (select distinct doc_id, unnest(range(i, i + {width})) i from gone),
 per as (select doc_id, list(i) c from cover group by 1)
 select doc_id, len(w)::BIGINT n_words, coalesce(len(c), 0)::BIGINT n_removed,
-  sha256(coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1), i -> case when c is not null and list_contains(c, i) then null else w[i] end), x -> x is not null), ' '), '')) kept_sha256
+  sha256(coalesce(array_to_string(list_filter(list_transform(range(1, len(w) + 1), lambda i: case when c is not null and list_contains(c, i) then null else w[i] end), lambda x: x is not null), ' '), '')) kept_sha256
 from w left join per using (doc_id)"""
 
 
