@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
-from tagtide.llm.common import cut, partitions, ship
+from tagtide.llm.common import cut, ship
 from tagtide.llm.components import components
 
 #: Shingles gathered before they are packed, and the bits that are kept of each within its fragment.
@@ -215,10 +215,9 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     another empty one. Rows with a null doc_id are left out; rows that share a doc_id are taken as one
     group; other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     n_words = docs.select((F.sum(F.octet_length("text")) / 5).cast("long")).first()[0] or 0
-    n_frag = max(partitions(spark), 1 + n_words // tokens_per_fragment)
+    n_frag = max(24, 1 + n_words // tokens_per_fragment)
     packed = docs.mapInArrow(_pack(n_frag, k), "frag int, docs binary, keys binary, sizes binary, counts binary, toks binary")
     counted = cut(packed.groupBy("frag").applyInArrow(_count, "kind int, ids binary, keys binary, a binary, toks binary, dfs binary"))
     meta = cut(_expand(counted.filter("kind = 0")))
