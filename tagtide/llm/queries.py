@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtide.llm import ann, decontaminate, licenses, lines, mixing, ngram_join, phrases, warc
+from tagtide.llm import ann, decontaminate, licenses, lines, mixing, ngram_join, phrases, quality, toxicity, warc
 from tagtide.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda doc_id: F.crc32(doc_id.cast("string")) % 4 == 2
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out, threshold=0.3)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,8 +50,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    judged = quality.classify(table(spark, sf_dir, "documents"), trusted)
+    return judged.select("doc_id", "n", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "accepted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ann_block_matrix, op2_substring_dedup, op4_decontamination, op5_source_mixing, op6_line_dedup, op7_warc_revisits, op8_ngram_jaccard_join, op9_license_scan]
+    own = [op1_ann_block_matrix, op2_substring_dedup, op3_toxicity, op4_decontamination, op5_source_mixing, op6_line_dedup, op7_warc_revisits, op8_ngram_jaccard_join, op9_license_scan, op10_quality_classifier]
     return {f.__name__: f for f in own}
 
 
