@@ -38,7 +38,7 @@ PACK = 1_000_000
 BITS = 40
 
 _PACKED = pa.schema([("frag", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("toks", pa.binary())])
-_LISTED = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("tok", pa.int64()), ("seg", pa.int32()), ("blob", pa.binary())])
+_LISTED = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("pos", pa.int32()), ("tok", pa.int64()), ("seg", pa.int32()), ("blob", pa.binary())])
 
 
 def _pack(n_frag: int, k: int):
@@ -155,11 +155,11 @@ def _prefixes(percent: int):
         order = np.lexsort((toks, dfs))
         toks, dfs = toks[order], dfs[order]
         own = size - len(toks)
-        for x in toks[:prefix]:
-            out.append((key, size, own, int(x), None, None))
+        for i, x in enumerate(toks[:prefix], own + 1):
+            out.append((key, size, own, i, int(x), None, None))
         seg = np.floor(np.log2(dfs)).astype(np.int64)
         for s in np.unique(seg):
-            out.append((key, size, own, None, int(s), np.sort(toks[seg == s]).tobytes()))
+            out.append((key, size, own, None, None, int(s), np.sort(toks[seg == s]).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out = None, []
@@ -222,14 +222,16 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     counted = cut(packed.groupBy("frag").applyInArrow(_count, "kind int, ids binary, keys binary, a binary, toks binary, dfs binary"))
     meta = cut(_expand(counted.filter("kind = 0")))
     shared = counted.filter("kind = 1").mapInArrow(_named, "key long, n int, toks binary, dfs binary")
-    listed = cut(shared.repartition("key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), "key long, n int, own int, tok long, seg int, blob binary"))
-    posts = listed.filter("tok is not null").selectExpr("tok", "key", "n", "n - own s")
+    listed = cut(shared.repartition("key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), "key long, n int, own int, pos int, tok long, seg int, blob binary"))
+    posts = listed.filter("tok is not null").selectExpr("tok", "key", "n", "n - own s", "pos")
     segments = listed.filter("seg is not null").select("key", "seg", "blob")
-    # a pair can't overlap in more than what either has in shared shingles
-    near = F.expr(f"100 * least(sa, sb) >= {percent} * (na + nb - least(sa, sb)) and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    # a pair that has to share `needed` shingles shares one of the first n - needed + 1 of both,
+    # and can't share more than what either has in shared shingles
+    needed = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    near = F.expr(f"least(sa, sb) >= {needed} and pa <= na - {needed} + 1 and pb <= nb - {needed} + 1")
     # the leader of a list has the least share of shingles of its own: of near copies, the original
-    lead = posts.groupBy("tok").agg(F.min(F.struct(F.expr("1000 * (n - s) div n").alias("own"), F.xxhash64("key").alias("h"), "key", "n", "s")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").selectExpr("tok", "lead.key b", "lead.n nb", "lead.s sb")
-    star = posts.selectExpr("tok", "key a", "n na", "s sa").join(lead, "tok").filter("a <> b").filter(near)
+    lead = posts.groupBy("tok").agg(F.min(F.struct(F.expr("1000 * (n - s) div n").alias("own"), F.xxhash64("key").alias("h"), "key", "n", "s", "pos")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").selectExpr("tok", "lead.key b", "lead.n nb", "lead.s sb", "lead.pos pb")
+    star = posts.selectExpr("tok", "key a", "n na", "s sa", "pos pa").join(lead, "tok").filter("a <> b").filter(near)
     first = cut(star.select(F.expr("least(struct(a, na), struct(b as a, nb as na))").alias("p"), F.expr("greatest(struct(a, na), struct(b as a, nb as na))").alias("q")).distinct().selectExpr("p.a a", "q.a b", "p.na na", "q.na nb"))
     links = cut(_links(first, segments, percent))
     joined = components(links)
@@ -237,13 +239,9 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     named = posts.join(label, "key")
     mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
     rest = cut(named.join(mixed, "tok", "left_semi"))
-    left, right = rest.selectExpr("tok", "key a", "n na", "s sa", "comp ca"), rest.selectExpr("tok", "key b", "n nb", "s sb", "comp cb")
-    met = left.join(right, "tok").filter("ca <> cb and a < b").filter(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met"))
-    # shingles after the prefix that ends first can meet at best all of what follows it
-    after = lambda n: f"({percent} * ({n}) + 99) div 100 - 1"
-    needed = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
-    met = met.filter(f"met >= least({needed} - ({after('na')}), {needed} - ({after('nb')}))")
-    second = met.select("a", "b", "na", "nb").join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
+    left, right = rest.selectExpr("tok", "key a", "n na", "s sa", "pos pa", "comp ca"), rest.selectExpr("tok", "key b", "n nb", "s sb", "pos pb", "comp cb")
+    met = left.join(right, "tok").filter("ca <> cb and a < b").filter(near).select("a", "b", "na", "nb")
+    second = met.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     links = links.unionByName(cut(_links(second, segments, percent)))
     final = components(links).withColumnRenamed("node", "key")
     classes = meta.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
