@@ -12,15 +12,20 @@ partitions' signatures. Candidates are verified by exact containment of the shin
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm.common import cut, fold, small, words
 
 
-def shingles(ws: Column, k: int) -> Column:
-    """Distinct k-word shingles, as strings; none with fewer than k words."""
-    return F.when(F.size(ws) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.array_join(F.slice(ws, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+def with_shingles(texts: DataFrame, name: str, k: int) -> DataFrame:
+    """text -> name: its distinct k-word shingles, as strings; none with fewer than k words.
+
+    The words are a column of their own: as an expression they would be split anew for each shingle.
+    """
+    ws = texts.withColumn("_words", words(fold(F.col("text")))).drop("text")
+    every = f"transform(sequence(1, size(_words) - {k - 1}), i -> array_join(slice(_words, i, {k}), ' '))"
+    return ws.withColumn(name, F.expr(f"if(size(_words) >= {k}, array_distinct({every}), cast(array() as array<string>))")).drop("_words")
 
 
 def _hashes(ws: str, k: int) -> str:
@@ -38,7 +43,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, k: int
     of rows, and joined by shuffles beyond.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    sets = cut(items.select(F.col("item_id").cast("long").alias("item_id"), shingles(words(fold(F.col("text"))), k).alias("set")).filter("item_id is not null and size(set) > 0").distinct())
+    sets = cut(with_shingles(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "set", k).filter("item_id is not null and size(set) > 0").distinct())
     words_of = ", ".join(f"xxhash64(split(s, ' ')[{j}])" for j in range(k))
     hashed = sets.select("item_id", F.expr(f"array_sort(transform(set, s -> xxhash64({words_of})))").alias("hs"), F.expr("cast(pow(2, ceil(log2(size(set)))) as int)").alias("upper"))
     signature = hashed.select(F.explode(F.expr(f"slice(hs, 1, upper - ((upper * {percent} + 99) div 100) + 1)")).alias("h"), "item_id")
@@ -47,7 +52,7 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = 80, k: int
     probes = ws.select("doc_id", F.explode(F.expr(_hashes("w", k))).alias("h"))
     pairs = cut(probes.join(signature, "h").select("doc_id", "item_id").distinct())
     candidates = small(pairs.select("doc_id").distinct(), max_documents)
-    texts = docs.join(candidates, "doc_id").select("doc_id", shingles(words(fold(F.col("text"))), k).alias("have"))
+    texts = with_shingles(docs.join(candidates, "doc_id"), "have", k)
     both = texts.join(pairs, "doc_id").join(small(sets, max_signatures), "item_id")
     exact = both.select("doc_id", "item_id", F.size("set").alias("n_item"), F.size(F.array_intersect("set", "have")).alias("n_shared")).filter(f"100 * n_shared >= {percent} * n_item")
     return exact.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_item", "n_shared")).alias("x")).select("doc_id", "item_id", "x.n_item", "x.n_shared")
