@@ -543,10 +543,10 @@ def mi_top_by_family(spark, d):
 MATRIX = f"{MI}, sc as (select family, substr(feature, 1, 1) topic, feature, round(mi, 9) mi from mi), cl as (select family, topic, avg(mi) * 1e8 m from (select *, row_number() over (partition by family, topic order by mi desc, feature) r from sc) where r <= 50 group by all)"
 
 
-@query("mi_matrix", f"with {MATRIX} select family, topic, round(avg(m), 3) mean_mi from cl group by cube (family, topic)")
+@query("mi_matrix", f"with {MATRIX} select family, topic, round(avg(m), 1) mean_mi from cl group by cube (family, topic)")
 def mi_matrix(spark, d):
     scores = mutual_information(spark, d).withColumn("topic", F.substring("feature", 1, 1))
-    return _r(information.mean_matrix(scores, k=50), "mean_mi", digits=3)
+    return _r(information.mean_matrix(scores, k=50), "mean_mi", digits=1)
 
 
 @query("topk_share", f"with {MI}, r as (select family, row_number() over (order by round(mi, 9) desc, feature, family) r from mi), k as (select unnest([10, 100, 1000]) k) select k::INT k, family, round(count(*) / sum(count(*)) over (partition by k), 9) share from r, k where r <= k group by k, family")
@@ -782,7 +782,7 @@ def scalar_functions(spark, d):
     )
 
 
-@query("time_difference", "select event_id, (epoch_us(ts) // 1000000 - 1704067200)::BIGINT seconds from events")
+@query("time_difference", "select event_id, (epoch_us(ts) // 1000000 - 1704067200)::BIGINT \"seconds\" from events")
 def time_difference(spark, d):
     return _t(spark, d, "events").select("event_id", (F.floor(sc.micros("ts") / 1_000_000) - 1704067200).cast("long").alias("seconds"))
 
