@@ -46,7 +46,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes words of, with size, target and taken words; documents it takes nothing of go."""
     taken = mix_sources(docs).filter("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
-    return docs.join(taken, "doc_id")
+    return docs.drop("size", "source_size", "target", "taken").join(taken, "doc_id")
 
 
 STAGES = [
