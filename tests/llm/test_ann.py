@@ -3,12 +3,19 @@ import numpy as np
 from tagtide.llm.ann import exact, nearest, quantise
 
 
+def dot(x, y):
+    out = 0.0  # in order: sum() compensates
+    for a, b in zip(x, y):
+        out += float(a) * float(b)
+    return out
+
+
 def brute(rows, k, every):
     good = {(i, tuple(np.float32(x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = set()
     for q, x in good:
         if q % every == 0:
-            all_ = sorted(((-sum(float(a) * float(b) for a, b in zip(x, y)), c) for c, y in good if c != q))
+            all_ = sorted((-dot(x, y), c) for c, y in good if c != q)
             out |= {(q, r, c, -s) for r, (s, c) in enumerate(all_[:k], 1)}
     return out
 

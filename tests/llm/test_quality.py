@@ -80,7 +80,7 @@ def test_limits_are_quantiles(spark, make_docs, corpus):
 
 def test_edges(spark, make_docs, corpus):
     trusted = spark.createDataFrame([(i,) for i in range(150)] + [(None,), (3,), (99_999,)], "doc_id long")
-    rows = corpus + [(900, None, "en"), (901, "", "xx"), (902, "w1 w2 w3 w4", None), (902, "w1 w2 w3 w4", None), (None, "w1 w2", "en"), (903, "漢字 🙂 " * 20_000, "zh")]
+    rows = corpus + [(900, None, "en"), (901, "", "xx"), (902, corpus[1][1], None), (902, corpus[1][1], None), (None, corpus[2][1], "en"), (903, "漢字 🙂 " * 20_000, "zh")]
     got = {}
     for r in q.classify(make_docs(rows), trusted).collect():
         got.setdefault(r["doc_id"], []).append(r)
