@@ -43,26 +43,27 @@ def _record_id(page_id: Column, copy: Column) -> Column:
 
 
 def resolve(headers: DataFrame) -> DataFrame:
-    """(page_id, payload_digest, n): n equal rows -> one row per record with record_type and refers_to.
+    """(key, page_id, payload_digest, n): n equal rows -> one row per record with record_type and refers_to.
 
     Of each digest, the record with the greatest page_id is the response and the others revisit it
-    (a null page_id is less than any other). Columns: page_id, payload_digest, copy, record_type, refers_to.
+    (a null page_id is less than any other). `key` passes; it stands for page_id where nulls are no keys.
     """
     original = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"))
     rows = headers.withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).join(original, "payload_digest")
     first = F.col("page_id").eqNullSafe(F.col("original")) & (F.col("copy") == 1)
-    return rows.select("page_id", "payload_digest", "copy", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("original")).alias("refers_to"))
+    return rows.select("key", "page_id", "payload_digest", "copy", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("original")).alias("refers_to"))
 
 
 def records(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> resolved records: headers, and the payload of responses only."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
-    headers = resolve(rows.groupBy("page_id", "payload_digest").agg(F.count(F.lit(1)).alias("n")))
-    # payloads meet their headers under (page_id, digest), of which a hot digest has as many as rows
-    bodies = rows.groupBy("page_id", "payload_digest").agg(F.first("payload").alias("payload"), F.min("url").alias("url"))
-    joined = headers.alias("h").join(bodies.alias("b"), F.col("h.page_id").eqNullSafe(F.col("b.page_id")) & (F.col("h.payload_digest") == F.col("b.payload_digest")))
-    return joined.select("h.page_id", "h.copy", "h.record_type", "h.refers_to", "h.payload_digest", "b.url", F.when(F.col("h.record_type") == "response", F.col("b.payload")).otherwise("").alias("payload"), F.octet_length("b.payload").cast("long").alias("payload_length"))
+    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload"))).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    headers = resolve(rows.groupBy("key", "page_id", "payload_digest").agg(F.count(F.lit(1)).alias("n")))
+    # payloads meet their headers under (key, digest), of which a hot digest has as many as rows; grouping and
+    # join have the same keys, so payloads are shuffled once
+    bodies = rows.groupBy("key", "payload_digest").agg(F.first("payload").alias("payload"), F.min("url").alias("url"))
+    joined = headers.join(bodies, ["key", "payload_digest"])
+    return joined.select("page_id", "copy", "record_type", "refers_to", "payload_digest", "url", F.when(F.col("record_type") == "response", F.col("payload")).otherwise("").alias("payload"), F.octet_length("payload").cast("long").alias("payload_length"))
 
 
 def write_archives(recs: DataFrame, folder: str, per_file: int = 2000) -> None:
