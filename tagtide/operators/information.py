@@ -58,10 +58,10 @@ def mutual_information(features: DataFrame, labels: DataFrame, keys: list[str])
     features: (row, keys) of present features; labels: (row, label 0/1) of all rows. Features in every row or in
     none, which tell nothing, get 0.
     """
-    totals = labels.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
+    totals = labels.agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_n1"))
     present = features.select("row", *keys).distinct().join(labels, "row")
-    cells = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("f"), F.sum("label").alias("f1")).join(F.broadcast(totals))
-    n, n1, f, f1 = (F.col(c).cast("double") for c in ("n", "n1", "f", "f1"))
+    cells = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_f"), F.sum("label").alias("_f1")).join(F.broadcast(totals))
+    n, n1, f, f1 = (F.col(c).cast("double") for c in ("_n", "_n1", "_f", "_f1"))
     term = lambda x, pf, pc: information_term(x / n, pf / n, pc / n)
     mi = term(f1, f, n1) + term(f - f1, f, n - n1) + term(n1 - f1, n - f, n1) + term(n - n1 - f + f1, n - f, n - n1)
     return cells.select(*keys, mi.alias("mi"))

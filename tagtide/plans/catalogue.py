@@ -836,3 +836,56 @@ QUERIES["svm_rank"] = _model("linear_svm", iterations=20)
 QUERIES["nb_rank"] = _model("naive_bayes", kind="gaussian")
 QUERIES["rf_rank"] = _model("random_forest", trees=20)
 QUERIES["rocchio_rank"] = _model("rocchio")
+
+
+def _evaluated(spark, d, slices: int | None = None):
+    """Train, tune C on a fixed validation set by AP@1000, and score the test set."""
+    from tagtide.operators import ranking_models as rm
+
+    train, test = _vectors(spark, d)
+    scaler = rm.scaler(train)
+    train, test = rm.scale(scaler, train), rm.scale(scaler, test)
+    val, fit = train.filter("id % 5 = 1"), train.filter("id % 5 <> 1")
+    results, best = rm.tune((0.1, 10.0), lambda c: rm.logistic_regression(fit, val, c, 10))
+    return results, rm.logistic_regression(train, test, best, 20)
+
+
+def grid_search(spark, d):
+    results, _ = _evaluated(spark, d)
+    return spark.createDataFrame([(i, float(c), float(ap)) for i, (ap, c) in enumerate(results, 1)], "rank int, c double, ap double")
+
+
+def ranking_pipeline(spark, d):
+    """P@10, P@100, P@1000 and AP@1000 of the tuned model, overall and per time slice (a quarter of the ids each)."""
+    _, scores = _evaluated(spark, d)
+    sliced = scores.withColumn("slice", F.explode(F.array(F.lit(-1).cast("long"), F.col("id") % 4)))
+    return metrics.precision_at(sliced, ["slice"]).join(metrics.average_precision_at(sliced, ["slice"]), "slice")
+
+
+QUERIES["grid_search"] = grid_search
+QUERIES["ranking_pipeline"] = ranking_pipeline
+
+
+def learner_rows(spark, d):
+    """The test vectors as the text that linear and kernel learners read."""
+    from tagtide.operators.ranking_models import libsvm_rows
+
+    return libsvm_rows(_vectors(spark, d)[1])
+
+
+QUERIES["learner_rows"] = learner_rows
+
+
+@query("hashtag_birthday_stream", SQL["hashtag_birthday"])
+def hashtag_birthday_stream(spark, d):
+    """The same table from a stream over the events' files, drained into memory."""
+    import uuid
+
+    from tagtide.sources.posts import stream_checkpoint
+    from tagtide.streaming.birthdays import live_birthdays, start
+
+    path = f"{d}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    name = f"birthdays_{uuid.uuid4().hex}"
+    start(live_birthdays(tables.event_uses(events)), name, stream_checkpoint(spark)).awaitTermination()
+    return spark.table(name)

@@ -132,3 +132,12 @@ def read_properties(path: str) -> dict[str, str]:
 
 def topic_schema() -> T.StructType:
     return T.StructType([T.StructField("topic", T.StringType()), T.StructField("ap_rank", T.IntegerType()), T.StructField("mi_rank", T.IntegerType()), T.StructField("ap", T.DoubleType()), T.StructField("mi", T.DoubleType())])
+
+
+def stream_checkpoint(spark: SparkSession) -> str:
+    """A new folder for a stream's state, below spark.checkpoint.dir where the session names one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root}/stream-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="tagtide-stream-")
