@@ -885,7 +885,7 @@ def hashtag_birthday_stream(spark, d):
     from tagtide.streaming.birthdays import live_birthdays, start
 
     path = f"{d}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
     name = f"birthdays_{uuid.uuid4().hex}"
     start(live_birthdays(tables.event_uses(events)), name, stream_checkpoint(spark)).awaitTermination()
     return spark.table(name)
