@@ -206,7 +206,7 @@ def _expand(rows: DataFrame) -> DataFrame:
     return rows.select("ids", "keys", "a").mapInArrow(run, "doc_id long, key long, n_shingles long")
 
 
-def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_fragment: int = 6_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_fragment: int = 4_000_000) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id); links at Jaccard >= percent / 100.
 
     class_id is the smallest doc_id with an equal shingle set, component_id the smallest doc_id that

@@ -14,6 +14,7 @@ score joins the shares of its words (noisy or).
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -123,32 +124,46 @@ def surely(k: int, n: int, z: float = 3.0) -> float:
     return (p + z * z / (2 * n) - z * ((p * (1 - p) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
 
 
-def learn(sets: list[set[str]], labels: list[int], least: float = 0.35, least_begin: float = 0.7) -> tuple[dict[str, float], float]:
+def learn(texts: list[str], labels: list[int], reader: Reader, least: float = 0.35, least_begin: float = 0.7) -> tuple[dict[str, float], float]:
     """Features whose share of toxic documents is surely above a limit, with that share, and the rate without any of them.
 
     Shares are judged by the lower end of their confidence interval, so that chance makes no marker: a word
-    needs five documents at the least. Word beginnings, which clean words share by chance, need more.
+    needs five documents at the least. Word beginnings, which clean words share by chance, need more. The
+    texts are read three times, so that no more than one document's words are held.
     """
     toxic: Counter = Counter()
-    for s, y in zip(sets, labels):
+    for t, y in zip(texts, labels):
         if y:
-            toxic.update({f for w in s for f in features(w)})
-    wanted = {f for f, n in toxic.items() if surely(n, n) >= least}
-    known: dict[str, tuple] = {}
+            toxic.update({f for w in reader.words(t) for f in features(w)})
+    wanted = {f: n for f, n in toxic.items() if surely(n, n) >= least}
+    del toxic
     every: Counter = Counter()
-    for s in sets:
-        here: set = set()
-        for w in s:
-            own = known.get(w)
-            if own is None:
-                own = known[w] = tuple(f for f in features(w) if f in wanted)
-            here.update(own)
-        every.update(here)
-    chosen = {f: (toxic[f] + 0.5) / (every[f] + 1) for f in wanted if surely(toxic[f], every[f]) >= (least_begin if f.endswith("-") else least)}
-    rest = [y for s, y in zip(sets, labels) if not any(f in chosen for w in s for f in known[w])]
+    for t in texts:
+        every.update({f for w in reader.words(t) for f in features(w) if f in wanted})
+    chosen = {f: (n + 0.5) / (every[f] + 1) for f, n in wanted.items() if surely(n, every[f]) >= (least_begin if f.endswith("-") else least)}
+    rest = [y for t, y in zip(texts, labels) if not any(f in chosen for w in reader.words(t) for f in features(w))]
     return chosen, (sum(rest) + 0.1) / (len(rest) + 1)
 
 
+def distinct(texts: list[str], k: int = 16, shared: int = 6) -> list[int]:
+    """Positions of texts that are no near copy of an earlier one: a family of copies would make markers of all its words.
+
+    Texts are compared by the k smallest hashes of their word pairs.
+    """
+    seen: dict[int, list[int]] = {}
+    kept = []
+    for i, t in enumerate(texts):
+        w = t.lower().split()
+        sketch = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:])})[:k]
+        near = Counter(j for h in sketch for j in seen.get(h, ()))
+        if near and near.most_common(1)[0][1] >= min(shared, len(sketch)):
+            continue
+        kept.append(i)
+        for h in sketch:
+            seen.setdefault(h, []).append(i)
+    return kept
+
+
 def strongest(word: str, chosen: dict[str, float]) -> float:
     """The greatest share among the word's features, 0 without any."""
     return max((chosen.get(f, 0.0) for f in features(word)), default=0.0)
@@ -184,11 +199,11 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(p3).ravel()
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out, max_train: int = 12_000, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out, max_train: int = 8_000, threshold: float = 0.3) -> DataFrame:
     """(doc_id, text), (doc_id, toxic) -> (doc_id, held_out, score, predicted), one row per input row.
 
     `held_out` is a condition on doc_id: labels of such rows are never used. At most `max_train` labelled
-    documents, chosen by a hash of their id, are learned from; texts that repeat count once, labels that are
+    documents, chosen by a hash of their id, are learned from; near copies among them count once, labels that are
     null or belong to no document not at all, and of labels that repeat a doc_id the greatest counts. Only
     the text bears on a score. Null and empty texts get the base rate. With no usable label, all scores are
     a base rate of 0.1 / 1. A null doc_id is not held out and can't be labelled. Other columns are ignored.
@@ -200,8 +215,9 @@ def score(docs: DataFrame, labels: DataFrame, held_out, max_train: int = 12_000,
     usable = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     train = docs.join(F.broadcast(sample), "doc_id").filter("text is not null").orderBy("doc_id").toPandas().drop_duplicates("text")
+    train = train.iloc[distinct(train["text"].tolist())]
     reader = Reader(logs.tolist())
-    chosen, base = learn([reader.words(t) for t in train["text"]], train["toxic"].tolist())
+    chosen, base = learn(train["text"].tolist(), train["toxic"].tolist(), reader)
     shared = spark.sparkContext.broadcast((logs, chosen, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
