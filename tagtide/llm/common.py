@@ -47,6 +47,15 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def reshuffled(df: DataFrame, key: str) -> DataFrame:
+    """`df` with a long key that Spark doesn't know to be partitioned by.
+
+    A join of a table with an aggregate of itself would reuse the aggregate's partitioning, and AQE can't split
+    a hot key there. With an exchange of its own for the small side, it can.
+    """
+    return df.withColumn(key, F.shiftright(key, 0))
+
+
 def words(text: Column) -> Column:
     """Array of the words `[^\\x20\\x09-\\x0D]+`; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

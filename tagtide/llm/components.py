@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.common import cut
+from tagtide.llm.common import cut, reshuffled
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -21,7 +21,7 @@ def _mark(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs: (u, v). Large: link every greater neighbour of u to u's least one; small: link u's lesser ones and u."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(least, "u")
+    joined = pairs.join(reshuffled(least, "u"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

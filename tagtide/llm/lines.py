@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagtide.llm.common import reshuffled
+
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, levels: int = 3) -> DataFrame:
     """documents -> the same rows with repeated runs of lines removed, plus n_lines and n_removed.
@@ -44,7 +46,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, levels: int = 3) -> DataFr
         runs.append(f"filter(transform(r{k}, (x, i) -> if({needed}, struct({k} as k, i as i, x.p as p, x.q as q), null)), x -> x is not null)")
     spots = named.select("_ld_id", F.explode(F.expr(f"concat({', '.join(runs)})")).alias("s")).select("_ld_id", "s.*")
     groups = spots.groupBy("k", "p", "q").agg(F.min(F.struct("_ld_id", "i")).alias("first"), F.max(F.struct("_ld_id", "i")).alias("last")).filter("first < last").select("k", "p", "q", "first")
-    later = spots.join(groups, ["k", "p", "q"]).filter("struct(_ld_id, i) > first")
+    later = spots.join(reshuffled(groups, "p"), ["k", "p", "q"]).filter("struct(_ld_id, i) > first")
     # a document's own line numbers, no more than it has lines
     gone = later.groupBy("_ld_id").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(i, i + cast(shiftleft(1, k) as int) - 1)")))).alias("_ld_gone"))
     out = docs.withColumn("_ld_id", order).join(gone, "_ld_id", "left")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
-from tagtide.llm.common import cut, ship
+from tagtide.llm.common import cut, reshuffled, ship
 from tagtide.llm.components import components
 
 #: Shingles gathered before they are packed, and the bits that are kept of each within its fragment.
@@ -231,14 +231,14 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     near = F.expr(f"least(sa, sb) >= {needed} and pa <= na - {needed} + 1 and pb <= nb - {needed} + 1")
     # the leader of a list has the least share of shingles of its own: of near copies, the original
     lead = posts.groupBy("tok").agg(F.min(F.struct(F.expr("1000 * (n - s) div n").alias("own"), F.xxhash64("key").alias("h"), "key", "n", "s", "pos")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").selectExpr("tok", "lead.key b", "lead.n nb", "lead.s sb", "lead.pos pb")
-    star = posts.selectExpr("tok", "key a", "n na", "s sa", "pos pa").join(lead, "tok").filter("a <> b").filter(near)
+    star = posts.selectExpr("tok", "key a", "n na", "s sa", "pos pa").join(reshuffled(lead, "tok"), "tok").filter("a <> b").filter(near)
     first = cut(star.select(F.expr("least(struct(a, na), struct(b as a, nb as na))").alias("p"), F.expr("greatest(struct(a, na), struct(b as a, nb as na))").alias("q")).distinct().selectExpr("p.a a", "q.a b", "p.na na", "q.na nb"))
     links = cut(_links(first, segments, percent))
     joined = components(links)
     label = posts.select("key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"))
     named = posts.join(label, "key")
     mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    rest = cut(named.join(mixed, "tok", "left_semi"))
+    rest = cut(named.join(reshuffled(mixed, "tok"), "tok", "left_semi"))
     left, right = rest.selectExpr("tok", "key a", "n na", "s sa", "pos pa", "comp ca"), rest.selectExpr("tok", "key b", "n nb", "s sb", "pos pb", "comp cb")
     met = left.join(right, "tok").filter("ca <> cb and a < b").filter(near).select("a", "b", "na", "nb")
     second = met.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
