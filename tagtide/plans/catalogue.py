@@ -123,9 +123,10 @@ FIRST = f"{MEMBERS}, fu as (select iteration, g, h, min(birthday) f, sum(nbr_twe
 
 
 def _user_groups(spark, d):
-    control = _control(spark, d)
+    """Membership: a few rows per iteration and group that many branches of a plan use, so they are kept."""
+    control = _control(spark, d).persist()
     b1 = groups.sensors(control, _network(spark, d), SEED)
-    return control.select("iteration", F.lit("A").alias("group"), "u").unionByName(b1.select("iteration", F.lit("B").alias("group"), F.col("sensor").alias("u"))).distinct()
+    return control.select("iteration", F.lit("A").alias("group"), "u").unionByName(b1.select("iteration", F.lit("B").alias("group"), F.col("sensor").alias("u"))).distinct().persist()
 
 
 NM = f"{MEMBERS}, nm as (select iteration, g, count(*)::BIGINT n from (select distinct * from mem) join th using (u) group by all)"
@@ -134,9 +135,9 @@ bp as (select distinct iteration, tid from mem join th using (u) where g = 'B'),
 dp as (select iteration, tid from (select iteration, tid, n, row_number() over (partition by iteration order by md5('D:' || iteration || ':' || tid), tid) r from bp join (select iteration, n from nm where g = 'A') using (iteration)) where r <= n)"""
 
 
-def _post_groups(spark, d):
-    uses, members = _uses(spark, d), _user_groups(spark, d)
-    sizes = members.join(uses.select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n"))
+def _post_groups(spark, d, members=None):
+    uses, members = _uses(spark, d), _user_groups(spark, d) if members is None else members
+    sizes = members.join(uses.select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n")).persist()
     c = groups.sampled_posts(uses, sizes.filter("group = 'B'").select("iteration", "n"), "C")
     b_posts = members.filter("group = 'B'").join(uses.select("u", "tid"), "u").select("iteration", "tid").distinct()
     ranked = b_posts.join(F.broadcast(sizes.filter("group = 'A'").select("iteration", "n")), "iteration")
@@ -155,7 +156,8 @@ def group_sizes(spark, d):
 
 
 def _lags(spark, d):
-    first = lag.first_uses(_user_groups(spark, d), _per_user(spark, d)).unionByName(lag.first_uses_of_posts(_post_groups(spark, d), _uses(spark, d)))
+    members = _user_groups(spark, d)
+    first = lag.first_uses(members, _per_user(spark, d)).unionByName(lag.first_uses_of_posts(_post_groups(spark, d, members), _uses(spark, d)))
     names = spark.createDataFrame([(i, g) for i in range(N_ITER) for g in "ABCD"], "iteration long, group string")
     return lag.lag_times(first, _births(spark, d), names)
 
