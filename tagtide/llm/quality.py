@@ -125,14 +125,17 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
 
 def dense(seen: list[tuple[np.ndarray, np.ndarray]], weights: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Log-probability of every 4-gram code: seen ones as given, others by their context's weight and the order below."""
-    table = np.full(1, 1 / CLASSES)
+    lower = np.full((1, CLASSES), 1 / CLASSES)
     for n, ((g, p), (ctx, w)) in enumerate(zip(seen, weights), 1):
-        weight = np.ones(1 << (n - 1) * BITS)
+        weight = np.ones(CLASSES ** (n - 1))
         weight[ctx] = w
-        kind = np.float32 if n == ORDER else np.float64
-        lower = np.full(CLASSES, 1 / CLASSES) if n == 1 else table
-        table = (np.tile(lower.reshape(1, -1), (CLASSES if n > 1 else 1, 1)).reshape(-1, CLASSES) * weight[:, None]).astype(kind).ravel()
+        # one slice per first character: the order below is the same for all of them
+        table = np.empty((CLASSES if n > 1 else 1, lower.size), np.float32 if n == ORDER else np.float64)
+        for part, own in zip(table, weight.reshape(len(table), -1)):
+            part[:] = (lower * own[:, None]).ravel()
+        table = table.ravel()
         table[g] = p
+        lower = table.reshape(-1, CLASSES)
     return np.log(table, out=table)
 
 
