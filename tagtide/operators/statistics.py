@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.functions.scalars import order_of_magnitude_bin
+from tagtide.sources.posts import sequential_ids
 
 
 def column_deviations(nonzeros: DataFrame, n_rows: DataFrame, key: str = "feature_id", value: str = "value") -> DataFrame:
@@ -73,9 +74,10 @@ def frequent(values: DataFrame, thresholds: dict[str, int]) -> DataFrame:
 
 
 def every_nth(df: DataFrame, n: int, order: list) -> DataFrame:
-    """Rows 1, n+1, 2n+1, ... of an order."""
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(*order))).filter((F.col("_r") - 1) % n == 0).drop("_r")
+    """Rows 1, n+1, 2n+1, ... of an order, numbered by ranges."""
+    return sequential_ids(df, order, 0, "_r").filter(F.col("_r") % n == 0).drop("_r")
 
 
 def numbered(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Consecutive numbers from 1, without a global sort in one task."""
+    return sequential_ids(df, order, 1, name)

@@ -53,12 +53,17 @@ def sequential_ids(df: DataFrame, order: list[str | Column], start: int = 1, nam
 
     A range exchange sorts the rows; counts per partition, a few numbers, give each partition its offset.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    ordered = _kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     firsts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     offsets = firsts.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
     return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_row") - F.col("_first") + start).drop("_part", "_row", "_first", "_offset")
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Range bounds are sampled: partitions must not be computed twice. In the session's checkpoint folder, if it has one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def to_json_lines(df: DataFrame) -> DataFrame:
     """One JSON object per row, nulls kept."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
