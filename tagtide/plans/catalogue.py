@@ -150,6 +150,22 @@ def groups_cd(spark, d):
     return _post_groups(spark, d)
 
 
+C20 = f"""{NM}, heavy as (select tid from th join us using (u) where nbr_hashtags >= 20),
+c20 as (select iteration, tid from (select iteration, tid, n, row_number() over (partition by iteration order by md5('C20:' || iteration || ':' || tid), tid) r from heavy, (select iteration, n from nm where g = 'B')) where r <= n),
+cb as (select iteration, tid from (select iteration, tid, n, row_number() over (partition by iteration order by md5('C_bis:' || iteration || ':' || tid), tid) r from th, (select iteration, n from nm where g = 'A')) where r <= n)"""
+
+
+@query("groups_cbis_c20", f"with {C20} select 'C20' \"group\", * from c20 union all select 'C_bis', * from cb")
+def groups_cbis_c20(spark, d):
+    """As many posts as another group wrote, of all users, or of those with twenty tags at least."""
+    uses, members = _uses(spark, d), _user_groups(spark, d)
+    sizes = members.join(uses.select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n")).persist()
+    heavy = uses.join(_users(spark, d).filter("nbr_hashtags >= 20").select("u"), "u", "left_semi")
+    c20 = groups.sampled_posts(heavy, sizes.filter("group = 'B'").select("iteration", "n"), "C20")
+    c_bis = groups.sampled_posts(uses, sizes.filter("group = 'A'").select("iteration", "n"), "C_bis")
+    return c20.select(F.lit("C20").alias("group"), "iteration", "tid").unionByName(c_bis.select(F.lit("C_bis").alias("group"), "iteration", "tid"))
+
+
 @query("group_sizes", f"with {NM} select iteration, g \"group\", n from nm")
 def group_sizes(spark, d):
     return _user_groups(spark, d).join(_uses(spark, d).select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n"))
@@ -290,6 +306,14 @@ def user_filter(spark, d):
     return _users(spark, d).filter("nbr_hashtags >= 20 and nbr_mentions >= 1").select("u")
 
 
+@query("line_id_join", "with a as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 line from orders), b as (select c_custkey, row_number() over (order by c_custkey) - 1 line from customer) select line, o_orderkey, c_custkey from a join b using (line)")
+def line_id_join(spark, d):
+    """Two tables side by side, on explicit line numbers."""
+    a = statistics.numbered(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "line")
+    b = statistics.numbered(_t(spark, d, "customer").select("c_custkey"), ["c_custkey"], "line")
+    return a.join(b, "line").select((F.col("line") - 1).alias("line"), "o_orderkey", "c_custkey")
+
+
 @query("range_filter", "select o_orderkey from orders where o_totalprice between 1000 and 100000")
 def range_filter(spark, d):
     return _t(spark, d, "orders").filter(F.col("o_totalprice").between(1000, 100000)).select("o_orderkey")
