@@ -697,13 +697,13 @@ def time_sliced_ap(spark, d):
 # --- language
 
 
-@query("trigram_profile", r"with s as (select '_' || regexp_replace(regexp_replace(lower(text), '[^\pL]+', '_', 'g'), '_+', '_', 'g') || '_' s from documents where lang = 'en'), z as (select regexp_replace(s, '_+', '_', 'g') s from s), g as (select substr(s, i, 3) ngram from (select s, unnest(range(1, length(s) - 1)) i from z) where substr(s, i + 1, 1) <> '_') select ngram, count(*) cnt from g group by 1 order by cnt desc, ngram limit 1000")
-def trigram_profile(spark, d):
-    return language.profile(_t(spark, d, "documents").filter("lang = 'en'"))
+_GRAMS = r"zz as (select doc_id, lang, string_split(regexp_replace('_' || regexp_replace(lower(text), '[^\pL]+', '_', 'g') || '_', '_+', '_', 'g'), '') c from documents), gg as (select doc_id, lang, c[i] || c[i + 1] || c[i + 2] ngram from (select doc_id, lang, c, unnest(range(1, len(c) - 1)) i from zz) where c[i + 1] <> '_')"
+_PROFILE = "pf as (select ngram, count(*) cnt from gg where lang = 'en' group by 1 order by cnt desc, ngram limit 1000)"
 
 
-_GRAMS = r"zz as (select doc_id, lang, regexp_replace('_' || regexp_replace(lower(text), '[^\pL]+', '_', 'g') || '_', '_+', '_', 'g') s from documents), gg as (select doc_id, lang, substr(s, i, 3) ngram from (select doc_id, lang, s, unnest(range(1, length(s) - 1)) i from zz) where substr(s, i + 1, 1) <> '_')"
-_PROFILE = "pf as (select ngram, count(*) cnt from gg where lang = 'en' group by 1 order by cnt desc, ngram limit 1000)"
+@query("trigram_profile", f"with {_GRAMS}, {_PROFILE} select * from pf")
+def trigram_profile(spark, d):
+    return language.profile(_t(spark, d, "documents").filter("lang = 'en'"))
 
 
 @query("lang_distance", f"with {_GRAMS}, {_PROFILE}, m as (select doc_id, count(*) total, count(pf.ngram) matched from (select distinct doc_id, ngram from gg) left join pf using (ngram) group by 1), r as (select d.doc_id, coalesce(total, 0) total, coalesce(matched, 0) matched, 1 - matched / total distance from documents d left join m using (doc_id)) select doc_id, total, matched, round(distance, 9) distance, case when distance < 0.4 then 'en' else 'unknown' end \"language\", coalesce(distance < 0.022, false) certain from r")
