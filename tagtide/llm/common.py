@@ -44,7 +44,7 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
 
     Beyond that Spark picks a shuffled join. `df` should be cut or cheap: it is evaluated here.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def reshuffled(df: DataFrame, key: str) -> DataFrame:

@@ -133,7 +133,7 @@ def _locate(width: int, k: int, shared):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             buf, off = tk.raw(batch.column("text"))
-            known = np.sort(shared.value) if shared is not None else None
+            known = shared.value if shared is not None else None
             for i, j in tk.pieces(off):
                 h, at = tk.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 grams = tk.gram_hashes(h, k)
