@@ -72,6 +72,5 @@ def sql(percent: int = 80, k: int = 5) -> str:
 
     return f"""
 with d as ({sets('documents', 'doc_id')}), b as ({sets('benchmark', 'item_id')}), n as (select item_id, count(*) n from b group by 1),
-shared as (select doc_id, item_id, count(*) s from d join b using (g) group by all),
-hit as (select doc_id, item_id, s / n c from shared join n using (item_id) where 100 * s >= {percent} * n)
-select doc_id, count(item_id) n_items, min(item_id) first_item, coalesce(max(c), 0.0)::DOUBLE max_containment from documents left join hit using (doc_id) group by doc_id"""
+shared as (select doc_id, item_id, count(*) s from d join b using (g) group by all)
+select doc_id, item_id, s / n containment from shared join n using (item_id) where 100 * s >= {percent} * n"""

@@ -26,7 +26,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """The contaminated documents and the items in them; clean documents have no row."""
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
