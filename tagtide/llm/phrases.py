@@ -33,7 +33,7 @@ from tagtide.llm import tokens as tk
 from tagtide.llm.common import cut, ship
 
 #: Bytes of text in one shard.
-SHARD = 16 << 20
+SHARD = 4 << 20
 _REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
