@@ -4,7 +4,8 @@ A disguised word (1d10t, st.u.pid, i d i o t, looooser) is seen as the output of
 letters by look-alikes, puts separators between letters and repeats letters. Its character lattice holds
 every reading of every character; Viterbi decoding under a character trigram model, whose counts cover
 all documents, finds the likeliest intended word. Words without look-alikes, separators or repetitions
-have one reading only, themselves, and skip the lattice.
+have one reading only, themselves, and skip the lattice. Runs of single characters are one lattice, in
+which each blank may be kept or dropped, so that decoding also finds where the words end.
 
 The scorer is learned from a bounded sample of labelled documents: words and word beginnings whose
 documents are toxic surely more often than not by chance are kept with that share, and a document's
@@ -33,49 +34,93 @@ SIZE = 64
 LOOKALIKES = {"0": "o", "1": "il", "!": "i", "|": "il", "3": "e", "€": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "6": "g", "9": "g", "2": "z", "(": "c", "¡": "i"}
 SEPARATORS = ".-_*~'`,:;/\\=^·•"
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`=+/\\^"
+MARKS = "".join(c for c in EDGES if c not in LOOKALIKES)
 #: Costs of the channel, as log-probabilities.
 REPLACE, DROP, ONCE, TWICE, KEEP = -2.0, -1.0, -1.0, -1.0, -8.0
 REPEATS = re.compile(r"(.)\1\1")
-SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+#: Single characters with white space between, marks at the ends.
+SPACED = re.compile(rf"(?<!\S)[{re.escape(EDGES)}]*\S(?:\s+\S)+[{re.escape(EDGES)}]*(?!\S)")
+#: Numbers: here digits are likely to mean themselves.
+NUMBER = re.compile(r"[$€+\-]?\d+(?:[.,:/\-]\d+)*[%$€+]?")
 RUNS = re.compile(r"(.)\1*", re.S)
 PREFIXES = (9, 8, 7, 6, 5, 4)
 CACHED = 300_000
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """Per run of equal characters, its readings and their channel log-probabilities."""
-    slots = []
+def lattice(token: str, doubles: bool = False) -> list[list[tuple[str, float]]]:
+    """Per run of equal characters, its readings and their channel log-probabilities; with doubles, two equal look-alikes are two letters and none is a mark."""
+    slots, keep = [], 0.0 if NUMBER.fullmatch(token) else KEEP
     for m in RUNS.finditer(token):
         c, n = m.group(1), m.end() - m.start()
         if c in CODES:
             slots.append([(c * n, 0.0)] if n < 3 else [(c, ONCE), (c * 2, TWICE), (c * n, KEEP)])
         else:
-            readings = [(c * n, KEEP * n)]
+            readings = [(c * n, keep * n)]
             for letter in LOOKALIKES.get(c, ""):
-                readings += [(letter, REPLACE)] + ([(letter * 2, REPLACE * 1.5)] if n > 1 else [])
-            if c in SEPARATORS or c in EDGES:
+                readings += ([(letter, REPLACE)] if n != 2 or not doubles else []) + ([(letter * 2, REPLACE * 1.5)] if n > 1 else [])
+            if c in SEPARATORS or c in EDGES and not (doubles and c in LOOKALIKES):
                 readings.append(("", DROP))
             slots.append(readings)
     return slots
 
 
-def decode(token: str, logs: np.ndarray) -> str:
-    """The likeliest reading of a token between word boundaries: Viterbi over pairs of last characters."""
-    states = {(0, 0): (0.0, "")}
-    for slot in [*lattice(token), [(" ", 0.0)]]:
+def spaced_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """The slots of single characters with white space between, and a slot per gap that keeps a blank or drops it.
+
+    Equal characters are one slot, as in lattice(), that may also hold the end of a word.
+    """
+    slots, gap = [], ""
+    for part in re.split(r"(\s+)", run):
+        if part.isspace():
+            gap = part
+            continue
+        for k, m in enumerate(RUNS.finditer(part)):
+            c, n = m.group(1), m.end() - m.start()
+            if k == 0 and slots and slots[-1][0] == c and gap == " ":
+                slots[-1][1] += n
+            else:
+                if k == 0 and slots:
+                    slots.append(["", gap])
+                slots.append([c, n])
+    out = []
+    for c, n in slots:
+        if not c:
+            out.append([(" ", 0.0), ("", DROP if n == " " else 2 * DROP)])
+            continue
+        readings = [(r, cost + DROP * (n > 1)) for r, cost in lattice(c * n)[0]]
+        if n > 1:
+            for x, cost in [(c, 0.0)] if c in CODES else [(letter, REPLACE) for letter in LOOKALIKES.get(c, "")]:
+                readings += [(f"{x * a} {x * b}", cost * (a + b) + (0.0 if n == a + b else ONCE)) for a in (1, 2) for b in (1, 2) if a + b <= n]
+        out.append(readings)
+    return out
+
+
+def _viterbi(slots: list[list[tuple[str, float]]], logs: np.ndarray) -> str:
+    """The likeliest reading of slots between word boundaries: Viterbi over pairs of last characters, with links back."""
+    states: dict = {(0, 0): (0.0, None)}
+    for slot in [*slots, [(" ", 0.0)]]:
+        coded = [(reading, cost, [CODES.get(c, 0) for c in reading]) for reading, cost in slot]
         after: dict = {}
-        for (a, b), (score, text) in states.items():
-            for reading, cost in slot:
+        for (a, b), (score, link) in states.items():
+            for reading, cost, classes in coded:
                 x, y, total = a, b, score + cost
-                for c in reading:
-                    z = CODES.get(c, 0)
+                for z in classes:
                     total += logs[x * SIZE * SIZE + y * SIZE + z]
                     x, y = y, z
                 old = after.get((x, y))
                 if old is None or total > old[0]:
-                    after[(x, y)] = (total, text + reading)
+                    after[(x, y)] = (total, (link, reading))
         states = after
-    return max(states.values())[1].strip()
+    link, out = max(states.values(), key=lambda s: s[0])[1], []
+    while link:
+        link, reading = link
+        out.append(reading)
+    return "".join(reversed(out)).strip()
+
+
+def decode(token: str, logs: np.ndarray, doubles: bool = False) -> str:
+    """The likeliest reading of a token between word boundaries."""
+    return _viterbi(lattice(token, doubles), logs)
 
 
 class Reader:
@@ -84,31 +129,35 @@ class Reader:
     def __init__(self, logs: list[float]):
         self.logs, self.kept = logs, {}
 
-    def word(self, token: str) -> str:
-        """token is lower case. Marks at its ends go, unless look-alikes make a likelier word of them."""
-        bare = token.strip(EDGES)
+    def read(self, token: str) -> tuple[str, ...]:
+        """The words that a token, in lower case, may stand for. Marks at its ends go; look-alikes there are also read as letters, and two equal ones as two."""
+        bare, wide = token.strip(EDGES), token.strip(MARKS)
         if bare.isalpha() and not REPEATS.search(bare):
             if len(bare) == len(token) or token[0] not in LOOKALIKES and not (token[-1] in LOOKALIKES and token[-2:-1] not in EDGES):
-                return bare
-        elif not any(c in CODES for c in bare) or len(bare) > 40:
-            return bare
-        core = token.strip("".join(c for c in EDGES if c not in LOOKALIKES)) if bare.isalpha() else bare
-        return decode(core, self.logs) or bare
+                return (bare,)
+            return (decode(wide, self.logs) or bare,)
+        found = {decode(t, self.logs) or bare for t in {bare, wide}}
+        if any(m.end() - m.start() == 2 and m.group(1) in LOOKALIKES for m in RUNS.finditer(wide)) and not NUMBER.fullmatch(wide):
+            found.add(decode(wide, self.logs, True))
+        return tuple(found)
+
+    def spaced(self, run: str) -> tuple[str, ...]:
+        """The words of single characters with white space between: of the likeliest reading, and each stretch with single blanks as one word."""
+        whole = _viterbi(spaced_lattice(run), self.logs).split()
+        glued = [w for stretch in re.split(r"\s{2,}|[^\S ]", run) for w in self.read(stretch.replace(" ", ""))]
+        return tuple({w.strip(EDGES) for w in whole} | set(glued))
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        tokens = set(low.split())
-        if sum(len(t) == 1 for t in tokens) >= 3:
-            for m in SPACED.finditer(low.replace("\n", "  ").replace("\t", " ")):
-                tokens.add(m.group(0).replace(" ", ""))
         kept, out = self.kept, set()
-        for t in tokens:
-            w = kept.get(t)
-            if w is None:
+        spaced = {m.group(0) for m in SPACED.finditer(low)}
+        for t in set(low.split()) | spaced:
+            found = kept.get(t)
+            if found is None:
                 if len(kept) >= CACHED:
                     kept.clear()
-                w = kept[t] = self.word(t)
-            out.add(w)
+                found = kept[t] = self.spaced(t) if t in spaced else self.read(t)
+            out.update(found)
         out.discard("")
         return out
 

@@ -74,3 +74,21 @@ def test_viterbi_finds_the_best_path():
     for token in ("1d10t", "b@@d", "s.t.0p", "xxxy3"):
         best = max(total(*p) for p in paths(tx.lattice(token)))
         assert any(abs(total(t, c) - best) < 1e-9 and t.strip() == tx.decode(token, logs) for t, c in paths(tx.lattice(token)))
+
+
+def test_blanks_marks_and_length_are_in_the_lattice(spark, make_docs, labelled):
+    rows, labels = labelled
+    swears = [(1000 + i, " ".join([*random.Random(i).choices(WORDS, k=12), "ass"])) for i in range(60)]
+    labels = labels + [(i, 1) for i, _ in swears]
+    bad = ["you are a w r e t c h", "y o u v e r m i n", "y o u  a r e  v e r m i n", "what an a s s", "(w r e t c h)", "w\nr\n3\nt\nc\nh", "an @$$ that is", "a 4$$ that was", "wr" + "e" * 60 + "tch", "t h e y a r e a l l t h e w a t e r p e o p l e w r e t c h"]
+    good = ["a b c", "1 2 3 4 5 6", "in 455 of the 2013 days", "t h e w a t e r o f t h e p e o p l e"]
+    more = [(5000 + i, t) for i, t in enumerate(bad + good)]
+    got = {r["doc_id"]: r["predicted"] for r in score(spark, make_docs, rows + swears + more, labels)}
+    assert [got[i] for i, _ in more] == [1] * len(bad) + [0] * len(good)
+
+
+def test_long_runs_are_read(spark, make_docs, labelled):
+    rows, labels = labelled
+    more = [(5000, "= " * 3000), (5001, "x" * 100_000), (5002, "a " * 20_000), (5003, "the wr" + "e" * 100_000 + "tch")]
+    got = {r["doc_id"]: r["predicted"] for r in score(spark, make_docs, rows + more, labels)}
+    assert [got[i] for i, _ in more] == [0, 0, 0, 1]
