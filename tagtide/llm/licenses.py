@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagtide.llm.license_digests import DIGESTS
+
 # Equivalent spellings (the right one stands for both), after lower-casing.
 SPELLINGS = [
     ("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("non-commercial", "noncommercial"), ("per cent", "percent"), ("https:", "http:"),
@@ -79,11 +81,11 @@ def known(spark: SparkSession, entries: list[tuple[str, str]]) -> DataFrame:
     return rows.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
     """(doc_id, text) -> (doc_id, digest, license, notices), one row per input row.
 
     digest is the SHA-256 of the canonical whole text (null for a null text); license the known licence
-    with that digest, or null. notices are the licences of lines that are a known notice, sorted and
+    with that digest, of the given texts or the table of digests, or null. notices are the licences of lines that are a known notice, sorted and
     joined by commas, '' if none. A text that is nothing but copyright lines, marks or blanks has the
     digest of '' and no licence. Repeated rows are kept; other columns are ignored.
     """
@@ -93,7 +95,9 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tu
     lookup = F.create_map(*[x for e, name in _digests(spark, notices) for x in (F.lit(e), F.lit(name))])
     lines = F.filter(F.split("text", "\n", -1), lambda line: F.lower(line).rlike("licen|software|source code"))
     named = F.transform(lines, lambda line: F.element_at(lookup, F.sha2(canonical(line), 256)))
-    out = base.join(F.broadcast(known(spark, texts)), "digest", "left")
+    table = spark.createDataFrame(digests, "license string, digest string")
+    whole = known(spark, texts).unionByName(table).groupBy("digest").agg(F.min("license").alias("license"))
+    out = base.join(F.broadcast(whole), "digest", "left")
     return out.select("doc_id", "digest", "license", F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), ","), F.lit("")).alias("notices"))
 
 
