@@ -581,6 +581,23 @@ def topk_share(spark, d):
     return _r(information.family_shares(scores, [10, 100, 1000]), "share")
 
 
+WHOLE_MATRIX = MATRIX.replace("where r <= 50", "where r <= 100000")
+
+
+@query("mi_matrix_whole", f"with {WHOLE_MATRIX} select family, topic, round(avg(m), 1) mean_mi from cl group by cube (family, topic)")
+def mi_matrix_whole(spark, d):
+    """mi_matrix over the operator's own number of features, 100,000 per family and topic."""
+    scores = mutual_information(spark, d).withColumn("topic", F.substring("feature", 1, 1))
+    return _r(information.mean_matrix(scores), "mean_mi", digits=1)
+
+
+@query("topk_share_whole", f"with {MI}, r as (select family, row_number() over (order by round(mi, 9) desc, feature, family) r from mi), k as (select unnest([10, 100, 1000, 10000, 100000]) k) select k::INT k, family, round(count(*) / sum(count(*)) over (partition by k), 9) share from r, k where r <= k group by k, family")
+def topk_share_whole(spark, d):
+    """topk_share up to the 100,000 best features."""
+    scores = mutual_information(spark, d).withColumn("feature", F.concat_ws("\x01", "feature", "family"))
+    return _r(information.family_shares(scores, [10, 100, 1000, 10_000, 100_000]), "share")
+
+
 # --- statistics
 
 

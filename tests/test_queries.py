@@ -20,3 +20,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["h", "lag"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_feature_lists(spark):
+    shares = {r["k"] for r in catalogue.QUERIES["topk_share_whole"](spark, SMALL).collect()}
+    assert shares == {10, 100, 1000, 10_000, 100_000}
+    cells = lambda name: {(r["family"], r["topic"]): r["mean_mi"] for r in catalogue.QUERIES[name](spark, SMALL).collect()}
+    assert cells("mi_matrix_whole") != cells("mi_matrix") and cells("mi_matrix_whole").keys() == cells("mi_matrix").keys()
