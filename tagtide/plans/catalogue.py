@@ -838,6 +838,41 @@ def json_roundtrip(spark, d):
     return to_json_lines(rows).select(F.from_json("value", "id long")["id"].alias("event_id"), F.col("value").alias("line"))
 
 
+# --- the same functions over whole tables
+
+
+def _texts(name, make):
+    """Registers a function of text over all documents, one row each."""
+    QUERIES[name] = lambda spark, d: _t(spark, d, "documents").select(F.col("doc_id").alias("id"), *make("text"))
+
+
+def _spans(c):
+    return F.transform(entities.entities_udf()(F.col(c)), lambda e: F.format_string("%s:%d-%d", e["type"], e["start"], e["end"]))
+
+
+_texts("hashtag_extract_documents", lambda c: [F.array_join(entities.hashtags(F.col(c)), ",").alias("tags")])
+_texts("mention_extract_documents", lambda c: [F.array_join(entities.mentions(F.col(c)), ",").alias("users")])
+_texts("reply_extract_documents", lambda c: [entities.reply_to(F.col(c)).alias("user")])
+_texts("cashtag_extract_documents", lambda c: [F.array_join(entities.cashtags(F.col(c)), ",").alias("tags")])
+_texts("url_extract_documents", lambda c: [F.array_join(F.transform(entities.entities_udf(("URL",))(F.col(c)), lambda e: e["value"]), ",").alias("urls")])
+_texts("entity_spans_documents", lambda c: [F.array_join(_spans(c), ",").alias("spans")])
+_texts("autolink_documents", lambda c: [entities.auto_link_udf()(F.col(c)).alias("html")])
+_texts("highlight_documents", lambda c: [entities.highlight_udf(F.col(c), F.transform(entities.entities_udf()(F.col(c)), lambda e: F.array(e["start"], e["end"]))).alias("html")])
+_texts("tweet_length_documents", lambda c: [entities.post_length_udf(c).alias("length"), entities.is_valid_post_udf(c).alias("valid")])
+
+
+def scalar_functions_events(spark, d):
+    e = _t(spark, d, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("u"))
+    return e.select(
+        "event_id", sc.format_time(sc.parse_created_at(F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy"))).alias("parsed"), F.date_format(sc.parse_day(F.date_format("ts", "dd/MM/yyyy")), "yyyy-MM-dd").alias("day"),
+        sc.duration(F.floor(sc.micros("ts") / 1000) % 86_400_000).alias("dur"), sc.is_numeric(F.col("u")).alias("num"), sc.is_special_char(F.substring("u", 1, 1)).alias("special"),
+        sc.join_items(sc.split_items(F.concat_ws(" ,, ", "u", "event_id"))).alias("items"), F.size(sc.split_list(F.concat_ws(",", "u", "event_id"))).alias("n_list"), F.md5("u").alias("digest"),
+    )
+
+
+QUERIES["scalar_functions_events"] = scalar_functions_events
+
+
 # --- models
 
 
