@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.common import partitions, ship
+from tagtide.llm.common import partitions
 
 #: Candidates of one tile.
 TILE = 4096
@@ -153,6 +153,3 @@ def sql(k: int = 20, every: int = 20) -> str:
 with v as (select vec_id, embedding::DOUBLE[] e from embeddings where embedding is not null and not list_contains(list_transform(embedding, lambda x: x is null or not isfinite(x)), true) and list_contains(list_transform(embedding, lambda x: x <> 0), true)),
 s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e) score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % {every} = 0)
 select query_id, rank::INT rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= {k}"""
-
-
-ship(__name__)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +12,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def ship(module: str) -> None:
-    """Pickle a module's functions by value: executors need not have this package installed."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

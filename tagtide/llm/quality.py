@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
-from tagtide.llm.common import cut, ship, small
+from tagtide.llm.common import cut, small
 
 CLASSES, ORDER, BITS = 64, 4, 6
 #: Bytes of text that are counted or scored at a time.
@@ -207,6 +207,3 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("l")), "left")
     limit = F.coalesce(slack * F.pow(F.lit(2.0), F.col("bin") / 512), fallback)
     return out.select("doc_id", "lang", "trusted", "n", "perplexity", "score", limit.alias("limit"), F.coalesce(F.col("score") <= limit, F.lit(True)).alias("accepted"))
-
-
-ship(__name__)

@@ -112,8 +112,3 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
     back = np.full(n, inverse, U)
     back[0] = 1
     return mix((sums[k:] - sums[:-k]) * np.cumprod(back, dtype=U))
-
-
-from tagtide.llm.common import ship  # noqa: E402
-
-ship(__name__)

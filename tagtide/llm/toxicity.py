@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
-from tagtide.llm.common import ship
+
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
 CODES = {c: i + 1 for i, c in enumerate(LETTERS)}  # 0 is everything that is no letter
@@ -289,6 +289,3 @@ def score(docs: DataFrame, labels: DataFrame, held_out, max_train: int = 8_000,
 
     scored = docs.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
-
-
-ship(__name__)
