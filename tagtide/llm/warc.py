@@ -1,17 +1,21 @@
 """WARC archives: writing, reading, and revisit resolution.
 
-Archives are gzip-compressed files of WARC/1.1 records in a folder that all executors share. Spark's own
-text writer puts them there (a record is a line whose separator is the two CRLF that end a record), so
-any file system that Spark can write will do. Readers take whole files of bounded size and walk from
-record to record by Content-Length, never by searching for separators.
-
-`resolve` shuffles headers only: by payload digest, with map-side aggregation, it finds each digest's
-original, joins the others to it and turns them into revisits. `write_archives` then writes one record
-per row with fresh headers: responses with their payload, revisits without.
+Archives hold WARC/1.1 records, each in a gzip member of its own, in a folder that all executors share.
+Records are compressed in Arrow batches and put together to files of about `FILE_BYTES`, one file per row,
+so a file's size is bounded by that and its last record. Spark's own text writer puts the rows there, so any
+file system that Spark can write will do: a row lacks its last byte, which the writer adds as line separator.
+That byte is always 0, being the top one of a member's length, or of the empty member that follows a
+record of 16 MB or more. Readers inflate member by member and walk from record to record by
+Content-Length, never by searching for separators; members may hold any number of records.
+
+`resolve` shuffles headers only: by payload digest, with map-side aggregation, it finds the original of
+each digest that occurs twice, joins the others to it and turns them into revisits. `write_archives` then
+writes one record per row with fresh headers: responses with their payload, revisits without.
 """
 
 from __future__ import annotations
 
+import gzip
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,6 +30,8 @@ from tagtide.llm.common import shared_folder
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
+#: Compressed bytes after which a file ends.
+FILE_BYTES = 32 << 20
 CRLF = "\r\n"
 _RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_length", pa.int64()), ("payload", pa.string())])
 
@@ -48,8 +54,11 @@ def resolve(headers: DataFrame) -> DataFrame:
     Of each digest, the record with the greatest page_id is the response and the others revisit it
     (a null page_id is less than any other). `key` passes; it stands for page_id where nulls are no keys.
     """
-    original = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"))
-    rows = headers.withColumn("copy", F.explode(F.expr("sequence(1L, n)"))).join(original, "payload_digest")
+    rows = headers.withColumn("copy", F.explode(F.expr("sequence(1L, n)")))
+    groups = headers.groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.sum("n").alias("m")).filter("m > 1")
+    # upper() hides that the groups are partitioned by digest: with an exchange of its own for them, AQE can split a hot one
+    groups = groups.select(F.upper("payload_digest").alias("payload_digest"), "original", F.lit(True).alias("shared"))
+    rows = rows.join(groups, "payload_digest", "left").withColumn("original", F.when(F.col("shared"), F.col("original")).otherwise(F.col("page_id")))
     first = F.col("page_id").eqNullSafe(F.col("original")) & (F.col("copy") == 1)
     return rows.select("key", "page_id", "payload_digest", "copy", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("original")).alias("refers_to"))
 
@@ -66,8 +75,30 @@ def records(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "copy", "record_type", "refers_to", "payload_digest", "url", F.when(F.col("record_type") == "response", F.col("payload")).otherwise("").alias("payload"), F.octet_length("payload").cast("long").alias("payload_length"))
 
 
-def write_archives(recs: DataFrame, folder: str, per_file: int = 2000) -> None:
-    """One WARC record per row of `records`, in files of at most per_file records."""
+def member(record: bytes) -> bytes:
+    """The record as a gzip member, and an empty member after it if it is so long that the last byte would not be 0."""
+    out = gzip.compress(record, 6, mtime=0)
+    return out if len(record) < 1 << 24 else out + gzip.compress(b"", 6, mtime=0)
+
+
+def _files(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for head, payload in zip(batch.column("head"), batch.column("payload")):
+                held.append(member(head.as_buffer().to_pybytes() + payload.as_buffer().to_pybytes() + b"\r\n\r\n"))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["value"])
+
+    return run
+
+
+def write_archives(recs: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
+    """One WARC record per row of `records`, in files that end with the record that takes them to file_bytes."""
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))).otherwise("")
     safe = F.regexp_replace(F.col("url"), r"[\r\n]", " ")
     revisit = F.col("record_type") == "revisit"
@@ -87,12 +118,27 @@ def write_archives(recs: DataFrame, folder: str, per_file: int = 2000) -> None:
         line("Content-Length", F.octet_length("payload").cast("string")),
         F.lit(CRLF),
     )
-    out = recs.select(F.concat(head, F.col("payload")).alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+    packed = recs.select(head.alias("head"), "payload").mapInArrow(_files(file_bytes), "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
+
+
+def members(data) -> Iterator[bytes]:
+    """What each gzip member of a file holds; zeros between and after members are padding."""
+    rest = memoryview(data)
+    while len(rest):
+        if rest[0] == 0:
+            rest = rest[1:]
+            continue
+        unzip = zlib.decompressobj(31)
+        out = unzip.decompress(rest)
+        if not unzip.eof:
+            raise ValueError("archive ends inside a gzip member")
+        rest = rest[len(rest) - len(unzip.unused_data) :]
+        yield out
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an uncompressed archive: headers by lower-case name, and the block."""
+    """The records of an uncompressed archive, or of a part with whole records: headers by lower-case name, and the block."""
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -109,20 +155,26 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of all archives in a folder; without payloads, headers only."""
+    """The records of all archives in a folder; without payloads, headers only. Headers that a record lacks are null."""
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _RECORD)], schema=_RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                unzip = zlib.decompressobj(31)
-                rows = []
-                for head, block in parse(unzip.decompress(content.as_buffer()) + unzip.flush()):
-                    number = lambda name: int(head[name]) if name in head else None  # noqa: E731, B023
-                    rows.append((number("x-page-id"), head["warc-type"], head.get("warc-target-uri"), head["warc-payload-digest"].removeprefix("sha1:"), number("x-refers-to-page-id"), number("x-payload-length"), block.decode("utf-8") if payloads else None))
+                rows, size = [], 0
+                for part in members(content.as_buffer()):
+                    for head, block in parse(part):
+                        number = lambda name: int(head[name]) if name in head else None  # noqa: E731, B023
+                        digest = head.get("warc-payload-digest")
+                        rows.append((number("x-page-id"), head.get("warc-type"), head.get("warc-target-uri"), digest and digest.removeprefix("sha1:"), number("x-refers-to-page-id"), number("x-payload-length"), block.decode("utf-8", "replace") if payloads else None))
+                        size += len(block) if payloads else 0
+                        if size >= FILE_BYTES or len(rows) >= 10_000:
+                            yield pack(rows)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _RECORD)], schema=_RECORD)
+                    yield pack(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    files = spark.read.format("binaryFile").load(folder).select("content")
     return files.mapInArrow(run, "page_id long, record_type string, url string, payload_digest string, refers_to long, payload_length long, payload string")
 
 

@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -32,12 +34,37 @@ def test_revisits(pages):
 
 def test_archives_round_trip(spark, pages, tmp_path):
     folder = str(tmp_path / "w")
-    warc.write_archives(warc.records(pages), folder, per_file=3)
+    warc.write_archives(warc.records(pages), folder, file_bytes=200)
     rows = warc.read_archives(spark, folder).collect()
     assert sorted(r["payload"] for r in rows if r["record_type"] == "response") == sorted({(t or "") for _, _, t in ROWS})
     assert all(r["payload"] == "" for r in rows if r["record_type"] == "revisit")
     assert all(digest(r["payload"]) == r["payload_digest"] for r in rows if r["record_type"] == "response")
-    assert len(list((tmp_path / "w").glob("*.gz"))) > 1
+    assert len(list((tmp_path / "w").glob("part-*"))) > 1
+
+
+def test_archives_are_standard_gzip(spark, tmp_path):
+    """Every file opens with plain gzip, one member per record; records of 16 MB or more included."""
+    rng = random.Random(1)
+    long = "".join(rng.choices("abcdefgh", k=1 << 10)) * (17 << 10)
+    rows = [(i, "u", f"text {i}") for i in range(20)] + [(20, "u", long)]
+    folder = tmp_path / "w"
+    warc.write_archives(warc.records(spark.createDataFrame(rows, "page_id long, url string, html string")), str(folder))
+    files = [f.read_bytes() for f in folder.glob("part-*")]
+    assert sum(sum(1 for _ in warc.parse(gzip.decompress(f))) for f in files if f) == 21
+    assert all(len(list(warc.parse(m))) <= 1 for f in files for m in warc.members(f))
+    assert sorted(r["payload_length"] for r in warc.read_archives(spark, str(folder), payloads=False).collect())[-1] == len(long)
+
+
+def test_foreign_archives(spark, tmp_path):
+    """Archives that this module did not write: several members, several records in one, padding, unknown headers."""
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: response\r\nX-Other: a:b\r\nContent-Length: {len(str(i))}\r\n\r\n{i}\r\n\r\n".encode()
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(1)) + gzip.compress(record(22) + record(333)) + b"\0" * 512)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(1000, 1100)))
+    got = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted(int(r["payload"]) for r in got) == [1, 22, 333, *range(1000, 1100)]
+    assert {r["payload_digest"] for r in got} == {None} and {r["record_type"] for r in got} == {"response"}
+    with pytest.raises(ValueError):
+        list(warc.members(gzip.compress(record(1))[:-6]))
 
 
 def test_empty_table(pages):
