@@ -86,14 +86,15 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tu
 
     digest is the SHA-256 of the canonical whole text (null for a null text); license the known licence
     with that digest, of the given texts or the table of digests, or null. notices are the licences of lines that are a known notice, sorted and
-    joined by commas, '' if none. A text that is nothing but copyright lines, marks or blanks has the
+    joined by commas, '' if none; notices may be any lines, but blank ones are ignored. A text that is nothing but copyright lines, marks or blanks has the
     digest of '' and no licence. Repeated rows are kept; other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", "text", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    # the broadcast tables hold the fixed entries above and nothing else
-    lookup = F.create_map(*[x for e, name in _digests(spark, notices) for x in (F.lit(e), F.lit(name))])
-    lines = F.filter(F.split("text", "\n", -1), lambda line: F.lower(line).rlike("licen|software|source code"))
+    # the broadcast tables hold the given entries and nothing else
+    notes = _digests(spark, notices)
+    lookup = F.create_map(*[x for e, name, _ in notes for x in (F.lit(e), F.lit(name))]) if notes else F.lit(None).cast("map<string,string>")
+    lines = F.filter(F.split("text", "\n", -1), lambda line: _may_be(F.lower(line), [c for _, _, c in notes]))
     named = F.transform(lines, lambda line: F.element_at(lookup, F.sha2(canonical(line), 256)))
     table = spark.createDataFrame(digests, "license string, digest string")
     whole = known(spark, texts).unionByName(table).groupBy("digest").agg(F.min("license").alias("license"))
@@ -101,8 +102,22 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tu
     return out.select("doc_id", "digest", "license", F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull()))), ","), F.lit("")).alias("notices"))
 
 
-def _digests(spark: SparkSession, entries: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    return [(r["digest"], r["license"]) for r in known(spark, entries).collect()]
+def _digests(spark: SparkSession, entries: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
+    """(digest, license, canonical form) of each entry that isn't blank."""
+    if not entries:
+        return []
+    rows = spark.createDataFrame(entries, "license string, text string").withColumn("form", canonical(F.col("text"))).filter("form <> ''")
+    return [tuple(r) for r in rows.groupBy("form").agg(F.min("license").alias("license")).select(F.sha2("form", 256), "license", "form").orderBy("form").collect()]
+
+
+def _may_be(low: Column, forms: list[str]) -> Column:
+    """Whether a line, in lower case, holds all words of some canonical form that no spelling rule can have made: only such lines are digested."""
+    made = [x.strip() for _, x in SPELLINGS]
+    some = F.lit(False)
+    for form in forms:
+        sure = [w for w in set(form.split()) if not any(w in x or x in w for x in made)]
+        some = some | reduce(lambda c, w: c & F.contains(low, F.lit(w)), sorted(sure, key=lambda w: (-len(w), w)), F.lit(True))
+    return some
 
 
 def _sql_canonical(text: str) -> str:

@@ -74,3 +74,10 @@ def test_long_licences_by_digest(spark):
             want[10 * i + j] = name if j < 2 else None
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["license"] for r in scan(docs).collect()} == want
+
+
+def test_callers_notices(make_docs):
+    rows = [(1, "text\nSome rights reserved by X.\nmore"), (2, "some   RIGHTS reserved; by x"), (3, "Some rights"), (4, ""), (5, "\n"), (6, "Licenced &\nlicenced & free"), (7, None)]
+    got = {r["doc_id"]: r["notices"] for r in scan(make_docs(rows), notices=[("X", "Some rights reserved by X"), ("Y", "License and"), ("Z", " - "), ("F", "Licensed and free")]).collect()}
+    assert got == {1: "X", 2: "X", 3: "", 4: "", 5: "", 6: "F", 7: ""}
+    assert {r["notices"] for r in scan(make_docs(rows), notices=[]).collect()} == {""}
