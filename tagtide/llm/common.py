@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: tables, cut lineage, checked broadcasts."""
+"""Helpers that the corpus operators share: tables, cut lineage, broadcasts of a checked size."""
 
 from __future__ import annotations
 
@@ -32,12 +32,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df`, hinted for broadcast only when a count finds at most `max_rows` rows in it.
+def small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """`df`, hinted for broadcast only when its rows hold at most `max_bytes`: 8 for a number or flag, a string's or array's length as JSON.
 
     Beyond that Spark picks a shuffled join. `df` should be cut or cheap: it is evaluated here.
     """
-    return F.broadcast(df) if df.count() <= max_rows else df
+    size = F.lit(0)
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        width = F.octet_length(c.cast("string")) + 16 if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(c))) if kind in ("array", "map", "struct") else F.lit(8)
+        size = size + F.coalesce(width, F.lit(8))
+    held = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= max_bytes else df
 
 
 def reshuffled(df: DataFrame, key: str) -> DataFrame:

@@ -59,7 +59,7 @@ def apportion(items: DataFrame, seats: Callable[[Column], Column]) -> DataFrame:
     return bounded.join(won, "src", "left").withColumn("quota", F.col("_low") + F.coalesce("_won", F.lit(0))).drop("_k", "_n", "_t", "_low", "_high", "_rest", "_won")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, block: int = 64, shard_blocks: int = 1024, seed: int = 17, bits: int = 12, max_sources: int = 10_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, block: int = 64, shard_blocks: int = 1024, seed: int = 17, bits: int = 12, max_broadcast: int = 32 << 20) -> DataFrame:
     """(doc_id, text, source) -> (doc_id, source, size, source_size, target, taken).
 
     size counts the words `[^\\x20\\x09-\\x0D]+` (null or empty text: 0). taken counts the words the mix
@@ -78,7 +78,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     hashes = F.expr(f"array_sort(transform(sequence(shard * {shard_blocks}, least(blocks, (shard + 1) * {shard_blocks}) - 1), b -> md5(concat_ws('|', '{seed}', src, b))))")
     limits = shards.select("src", "shard", F.when(F.col("part") > 0, F.element_at(hashes, F.col("part").cast("int"))).otherwise(F.lit("")).alias("limit"))
     place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    placed = sized.join(small(plan, max_sources).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "quota", "rest", "blocks").withColumn("place", place).withColumn("range", F.shiftright("place", 60 - bits))
+    placed = sized.join(small(plan, max_broadcast).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "quota", "rest", "blocks").withColumn("place", place).withColumn("range", F.shiftright("place", 60 - bits))
     totals = placed.groupBy("src", "range").agg(F.sum("size").alias("n"))
     offsets = totals.select("src", "range", (F.sum("n").over(Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("offset"))
     inside = Window.partitionBy("src", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)

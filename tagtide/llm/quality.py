@@ -160,11 +160,11 @@ def _score(shared, name: str):
     return run
 
 
-def log_probabilities(docs: DataFrame, trusted_ids: DataFrame, max_ids: int = 2_000_000) -> DataFrame:
+def log_probabilities(docs: DataFrame, trusted_ids: DataFrame, max_broadcast: int = 32 << 20) -> DataFrame:
     """(doc_id, lang, text), (doc_id) of trusted documents -> (doc_id, lang, trusted, n characters, total log-probability) of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    ids = small(cut(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()), max_ids)
+    ids = small(cut(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()), max_broadcast)
     counts = docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     seen, weights = kneser_ney(counts)
     pull = lambda df, a, b: (lambda t: (t[a].to_numpy(np.int64), t[b].to_numpy(float)))(df.toPandas())
@@ -190,7 +190,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     whole = base.agg(F.sum("t").alias("t"), F.sum("m").alias("m")).first()
     if not whole["m"]:
         return scored.select("doc_id", "lang", "trusted", "n", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("limit"), F.lit(True).alias("accepted"))
-    means = small(cut(base.filter(F.col("k") >= least).select(F.col("lang").alias("ml"), (F.col("t") / F.col("m")).alias("mean"))), 10_000)
+    means = small(cut(base.filter(F.col("k") >= least).select(F.col("lang").alias("ml"), (F.col("t") / F.col("m")).alias("mean"))))
     mean = F.coalesce("mean", F.lit(whole["t"] / whole["m"]))
     scored = scored.join(means, F.col("lang").eqNullSafe(F.col("ml")), "left").withColumn("score", F.when(F.col("n") > 0, F.exp(-(F.col("total") + prior * mean) / (F.col("n") + prior)))).drop("ml", "mean")
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))))
@@ -203,7 +203,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, sl
     by_lang = edge(bins, ["lang"]).filter(F.col("all") >= least).select(F.col("lang").alias("l"), "bin")
     overall = edge(bins.groupBy("bin").agg(F.sum("c").alias("c")).withColumn("one", F.lit(1)), ["one"]).first()
     fallback = F.lit(slack * 2 ** (overall["bin"] / 512))
-    limits = small(cut(by_lang), 10_000)
+    limits = small(cut(by_lang))
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("l")), "left")
     limit = F.coalesce(slack * F.pow(F.lit(2.0), F.col("bin") / 512), fallback)
     return out.select("doc_id", "lang", "trusted", "n", "perplexity", "score", limit.alias("limit"), F.coalesce(F.col("score") <= limit, F.lit(True)).alias("accepted"))
