@@ -3,16 +3,20 @@
 The shingles of all texts have one global order: by document frequency, then by hash, so rare ones
 come first. The order is worked on in fragments throughout:
 
-1. Hash fragments count frequencies. Each text's distinct shingles go, as packed blobs, to fragments
-   of the hash range; a fragment counts in how many different texts each of its shingles occurs and
-   drops those that occur in one only. They can't be shared.
+1. Hash fragments count frequencies, in two levels. Each text's distinct shingles go, as packed blobs of
+   64-bit names, to fragments of the hash range; a fragment counts in how many different texts each of its
+   shingles occurs and drops those that occur in one only. They can't be shared. Of a shingle that `HOT`
+   texts of one pack hold, the fragment gets the pack's count only, and the texts are rows that are joined
+   to the summed counts, so that however many texts hold a shingle, a fragment has at most HOT - 1 postings
+   of it per pack, and the join is split by AQE.
 2. A text of n shingles needs a partner that shares ceil(t*n) of them, so two linked texts share one
    of their first n - ceil(t*n) + 1 shingles of the order (prefix filter). Most texts' prefixes
    consist of unshared shingles and drop out. The others' prefixes become postings.
-3. Candidates come from postings in two rounds, and no group emits all its pairs. In the first, each
-   member of a posting list is paired with the list's leader only, so the pairs are at most as many as
-   the postings; a posting list of near copies thereby becomes one component. In the second, lists
-   whose members are in different components give the pairs across components.
+3. Candidates come from postings in two rounds. In the first, each member of a posting list is paired with
+   the list's leader only, so the pairs are at most as many as the postings; a posting list of near copies
+   thereby becomes one component. The second looks for links across components: a member meets the members
+   of the list whose size, by its own size and number of shared shingles, permits the similarity, and that
+   are in other components. Members that share too few of their shingles to be linked with anything meet none.
 4. A candidate pair's overlap is counted in each order fragment (frequency class) by itself; the
    partial counts are summed per pair and held against 100 * intersection >= 80 * union.
 
@@ -26,29 +30,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
 from tagtide.llm.common import cut, reshuffled
 from tagtide.llm.components import components
 
-#: Shingles gathered before they are packed, and the bits that are kept of each within its fragment.
-PACK = 1_000_000
-BITS = 40
+#: Shingles gathered before they are packed, and the texts of a pack whose common shingle is counted apart.
+PACK, HOT = 1_000_000, 4
+#: What a packed row is: documents with class and size, postings, counts of hot shingles, postings of hot shingles.
+DOCS, POSTS, COUNTS, SIDE = range(4)
 
-_PACKED = pa.schema([("frag", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("toks", pa.binary())])
+_PACKED = pa.schema([("frag", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("toks", pa.binary())])
 _LISTED = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("own", pa.int32()), ("pos", pa.int32()), ("tok", pa.int64()), ("seg", pa.int32()), ("blob", pa.binary())])
 
 
+def _hot(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur HOT times or more, sorted, and how often."""
+    toks = np.sort(toks)
+    edge = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1], [True]]))
+    counts = np.diff(edge)
+    return toks[edge[:-1][counts >= HOT]], counts[counts >= HOT]
+
+
 def _pack(n_frag: int, k: int):
-    """(doc_id, text) -> per fragment: class keys, set sizes, how many shingles each has here, their low bits.
+    """(doc_id, text) -> per fragment: class keys, set sizes, how many shingles each has here, their names.
 
-    Fragments from n_frag on carry (doc_id, class, size) of all documents instead.
+    Fragments from n_frag on carry what needs no counting: (doc_id, class, size) of all documents, and
+    the classes of hot shingles.
     """
 
+    def _frag(toks):
+        return ((toks >> tk.U(32)) * tk.U(n_frag)) >> tk.U(32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, flushed = {}, 0
+        task = TaskContext.get().partitionId()
         docs: list = []
         total = 0
 
@@ -59,24 +78,32 @@ def _pack(n_frag: int, k: int):
             ids = np.concatenate([d[0] for d in docs])
             keys = np.concatenate([d[1] for d in docs])
             sizes = np.concatenate([d[2] for d in docs])
-            rows = [(n_frag + flushed % n_frag, ids.tobytes(), keys.tobytes(), sizes.tobytes(), b"", b"")]
+            apart = n_frag + (task + flushed) % n_frag
+            rows = [(apart, DOCS, ids.tobytes(), keys.tobytes(), sizes.tobytes(), b"", b"")]
             flushed += 1
             if held:
                 own = np.fromiter(held.keys(), np.int64, len(held))
                 lens = np.fromiter((len(x) for x in held.values()), np.int64, len(held))
                 toks = np.concatenate(list(held.values()))
                 owner = np.repeat(np.arange(len(own), dtype=np.int32), lens)
-                frag = ((toks >> tk.U(32)) * tk.U(n_frag)) >> tk.U(32)
+                hot, often = _hot(toks)
+                if len(hot):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, toks), len(hot) - 1)] == toks
+                    there = owner[is_hot]
+                    rows.append((apart, SIDE, None, own[there].tobytes(), lens[there].astype(np.int32).tobytes(), b"", toks[is_hot].tobytes()))
+                    toks, owner = toks[~is_hot], owner[~is_hot]
+                    parts = np.searchsorted(_frag(hot), np.arange(n_frag + 1, dtype=np.uint64))
+                    rows += [(f, COUNTS, None, b"", b"", often[x:y].astype(np.int32).tobytes(), hot[x:y].tobytes()) for f, (x, y) in enumerate(zip(parts[:-1], parts[1:])) if x < y]
+                frag = _frag(toks)
                 order = np.argsort(frag.astype(np.uint16 if n_frag < 65536 else np.uint32), kind="stable")
                 toks, owner, frag = toks[order], owner[order], frag[order]
-                low = toks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]
                 at = np.searchsorted(frag, np.arange(n_frag + 1, dtype=np.uint64))
                 for f in range(n_frag):
                     a, b = at[f], at[f + 1]
                     if a == b:
                         continue
                     there, counts = np.unique(owner[a:b], return_counts=True)
-                    rows.append((f, None, own[there].tobytes(), lens[there].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), low[a:b].tobytes()))
+                    rows.append((f, POSTS, None, own[there].tobytes(), lens[there].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), toks[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PACKED)], schema=_PACKED)
             held, docs, total = {}, [], 0
 
@@ -105,21 +132,20 @@ def _pack(n_frag: int, k: int):
     return run
 
 
-def _wide(blobs) -> np.ndarray:
-    low = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, BITS // 8)
-    out = np.zeros((len(low), 8), np.uint8)
-    out[:, : BITS // 8] = low
-    return out.view("<u8").ravel()
+_COUNTED = pa.schema([("kind", pa.int32()), ("ids", pa.binary()), ("keys", pa.binary()), ("a", pa.binary()), ("toks", pa.binary()), ("dfs", pa.binary())])
 
 
 def _count(table: pa.Table) -> pa.Table:
     """One fragment: document frequencies of its shingles; rows (class, size, shared shingles, their frequencies)."""
-    frag = table.column("frag")[0].as_py()
-    if table.column("docs")[0].as_py() is not None:
-        return pa.table({"kind": pa.array([0] * len(table), pa.int32()), "ids": table.column("docs").cast(pa.binary()), "keys": table.column("keys"), "a": table.column("sizes"), "toks": pa.array([b""] * len(table), pa.binary()), "dfs": pa.array([b""] * len(table), pa.binary())})
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    keys, sizes, counts = join("keys", np.int64), join("sizes", np.int32), join("counts", np.int32)
-    toks = _wide(table.column("toks").to_pylist())
+    kinds = table.column("kind").to_numpy()
+    if kinds[0] in (DOCS, SIDE):
+        return table.select(["kind", "docs", "keys", "sizes", "toks", "counts"]).rename_columns(_COUNTED.names).cast(_COUNTED)
+    join = lambda part, name, kind: np.frombuffer(b"".join(part.column(name).to_pylist()), kind)
+    posts, often = table.filter(pa.array(kinds == POSTS)), table.filter(pa.array(kinds == COUNTS))
+    hot, where = np.unique(join(often, "toks", np.uint64), return_inverse=True)
+    hot_df = np.bincount(where, join(often, "counts", np.int32), len(hot)).astype(np.int64)
+    keys, sizes, counts = join(posts, "keys", np.int64), join(posts, "sizes", np.int32), join(posts, "counts", np.int32)
+    toks = join(posts, "toks", np.uint64)
     uniq, code = np.unique(keys, return_inverse=True)
     size_of = np.zeros(len(uniq), np.int32)
     size_of[code] = sizes
@@ -131,16 +157,47 @@ def _count(table: pa.Table) -> pa.Table:
     fresh = np.ones(len(toks), bool)
     fresh[1:] = (toks[1:] != toks[:-1]) | (owner[1:] != owner[:-1])
     toks, owner = toks[fresh], owner[fresh]
-    edge = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]]))
-    df = np.repeat(np.diff(np.append(edge, len(toks))), np.diff(np.append(edge, len(toks)))).astype(np.int32)
+    edge = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]])) if len(toks) else np.zeros(0, np.int64)
+    n = np.diff(np.append(edge, len(toks)))
+    # a shingle that is hot in some packs has postings from the others; a class may be in several packs, so its count is at least the number of classes
+    if len(hot) and len(edge):
+        at = np.minimum(np.searchsorted(hot, toks[edge]), len(hot) - 1)
+        known = hot[at] == toks[edge]
+        hot_df += np.bincount(at[known], n[known], len(hot)).astype(np.int64)
+        of = np.where(known, hot_df[at], n)
+    else:
+        of = n
+    df = np.repeat(of, n)
     shared = df > 1
-    toks, owner, df = toks[shared], owner[shared], df[shared]
+    toks, owner, df = toks[shared].view(np.int64), owner[shared], np.minimum(df[shared], 2**31 - 1).astype(np.int32)
     order = np.argsort(owner, kind="stable")
-    toks, owner, df = toks[order].astype(np.int64) | (np.int64(frag) << BITS), owner[order], df[order]
+    toks, owner, df = toks[order], owner[order], df[order]
     at = np.searchsorted(owner, np.arange(len(uniq) + 1))
     has = np.flatnonzero(np.diff(at))
-    cell = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in has], pa.binary())
-    return pa.table({"kind": pa.array(np.ones(len(has), np.int32)), "ids": cell(df[:0]), "keys": pa.array([uniq[i : i + 1].tobytes() for i in has], pa.binary()), "a": pa.array([size_of[i : i + 1].tobytes() for i in has], pa.binary()), "toks": cell(toks), "dfs": cell(df)})
+    cell = lambda x: [x[at[i] : at[i + 1]].tobytes() for i in has]
+    columns = [[POSTS] * len(has), [None] * len(has), [uniq[i : i + 1].tobytes() for i in has], [size_of[i : i + 1].tobytes() for i in has], cell(toks), cell(df)]
+    if len(hot):
+        for c, x in zip(columns, (COUNTS, None, b"", b"", hot.tobytes(), np.minimum(hot_df, 2**31 - 1).astype(np.int32).tobytes())):
+            c.append(x)
+    return pa.table([pa.array(c, t.type) for c, t in zip(columns, _COUNTED)], schema=_COUNTED)
+
+
+def _rows(names: dict[str, type]):
+    """Blobs of numbers -> one row per number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array(np.frombuffer(b"".join(batch.column(c).to_pylist()), t)) for c, t in names.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=list(names))
+
+    return run
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n, tok, df) -> the same with tok and df as blobs of one number."""
+    for batch in batches:
+        blob = lambda c, t: pa.array([x.tobytes() for x in batch.column(c).to_numpy().astype(t).reshape(-1, 1)], pa.binary())  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), blob("tok", np.int64), blob("df", np.int32)], names=["key", "n", "toks", "dfs"])
 
 
 def _prefixes(percent: int):
@@ -149,6 +206,9 @@ def _prefixes(percent: int):
     def emit(key, size, toks, dfs, out):
         toks = np.concatenate([np.frombuffer(x, np.int64) for x in toks])
         dfs = np.concatenate([np.frombuffer(x, np.int32) for x in dfs])
+        # a class that is in several packs has its hot shingles from each
+        toks, at = np.unique(toks, return_index=True)
+        dfs = dfs[at]
         prefix = size - -(-percent * size // 100) + 1 - (size - len(toks))
         if prefix <= 0:
             return
@@ -197,6 +257,27 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).filter(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
 
 
+def _near(percent: int) -> Column:
+    """A pair that has to share `needed` shingles shares one of the first n - needed + 1 of both, and can't share more than what either has in shared shingles."""
+    needed = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    return F.expr(f"least(sa, sb) >= {needed} and pa <= na - {needed} + 1 and pb <= nb - {needed} + 1")
+
+
+def _across(posts: DataFrame, percent: int) -> DataFrame:
+    """(tok, key, n, s shared shingles, pos, comp) -> (a, b, na, nb): pairs of a list that are in different components and may be linked.
+
+    Of two sizes na <= nb that are linked, nb is at most na * 100 / percent, and na + nb at most what either's
+    shared shingles allow; sizes are met by buckets of 5 %, so those that can't be linked aren't paired at all.
+    """
+    bucket = lambda n: f"cast(floor(ln({n}) / ln(1.05)) as int)"
+    reach = f"least(100 * n div {percent}, {100 + percent} * s div {percent} - n)"
+    left = posts.withColumn("reach", F.expr(reach)).filter("reach >= n").selectExpr("tok", f"explode(sequence({bucket('n')}, {bucket('reach')})) g", "key a", "n na", "s sa", "pos pa", "comp ca")
+    right = posts.filter(f"100 * s >= {percent} * n").selectExpr("tok", f"{bucket('n')} g", "key b", "n nb", "s sb", "pos pb", "comp cb")
+    met = left.join(right, ["tok", "g"]).filter("ca <> cb and (na < nb or na = nb and a < b)").filter(_near(percent))
+    met = met.selectExpr("least(struct(a, na), struct(b as a, nb as na)) p", "greatest(struct(a, na), struct(b as a, nb as na)) q")
+    return met.selectExpr("p.a a", "q.a b", "p.na na", "q.na nb")
+
+
 def _expand(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -206,41 +287,44 @@ def _expand(rows: DataFrame) -> DataFrame:
     return rows.select("ids", "keys", "a").mapInArrow(run, "doc_id long, key long, n_shingles long")
 
 
-def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_fragment: int = 4_000_000) -> DataFrame:
+def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_fragment: int = 2_000_000) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, class_id, component_id); links at Jaccard >= percent / 100.
 
     class_id is the smallest doc_id with an equal shingle set, component_id the smallest doc_id that
     links reach. Words are folded A-Z; with fewer than k words, the whole sequence is one shingle; with
     none (null or empty text) n_shingles is 0 and the document is linked with nothing, not even with
-    another empty one. Rows with a null doc_id are left out; rows that share a doc_id are taken as one
-    group; other columns are ignored. An empty table gives an empty result.
+    another empty one. Rows with a null doc_id are left out; rows that share a doc_id are one document, whose
+    links are those of all its texts, and each keeps its row; other columns are ignored. An empty table
+    gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     n_words = docs.select((F.sum(F.octet_length("text")) / 5).cast("long")).first()[0] or 0
-    n_frag = max(24, 1 + n_words // tokens_per_fragment)
-    packed = docs.mapInArrow(_pack(n_frag, k), "frag int, docs binary, keys binary, sizes binary, counts binary, toks binary")
+    n_frag = max(16, 1 + n_words // tokens_per_fragment)
+    packed = docs.mapInArrow(_pack(n_frag, k), "frag int, kind int, docs binary, keys binary, sizes binary, counts binary, toks binary")
     counted = cut(packed.groupBy("frag").applyInArrow(_count, "kind int, ids binary, keys binary, a binary, toks binary, dfs binary"))
-    meta = cut(_expand(counted.filter("kind = 0")))
-    shared = counted.filter("kind = 1").mapInArrow(_named, "key long, n int, toks binary, dfs binary")
-    listed = cut(shared.repartition("key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), "key long, n int, own int, pos int, tok long, seg int, blob binary"))
+    meta = cut(_expand(counted.filter(f"kind = {DOCS}")))
+    shared = counted.filter(f"kind = {POSTS}").mapInArrow(_named, "key long, n int, toks binary, dfs binary")
+    often = counted.filter(f"kind = {COUNTS}").select("toks", "dfs").mapInArrow(_rows({"toks": np.int64, "dfs": np.int32}), "toks long, dfs int").toDF("tok", "df")
+    side = counted.filter(f"kind = {SIDE}").select("toks", "keys", "a").mapInArrow(_rows({"toks": np.int64, "keys": np.int64, "a": np.int32}), "toks long, keys long, a int").toDF("tok", "key", "n")
+    hot = side.join(reshuffled(often, "tok"), "tok").select("key", "n", "tok", "df").mapInArrow(_cells, "key long, n int, toks binary, dfs binary")
+    listed = cut(shared.unionByName(hot).repartition("key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), "key long, n int, own int, pos int, tok long, seg int, blob binary"))
     posts = listed.filter("tok is not null").selectExpr("tok", "key", "n", "n - own s", "pos")
     segments = listed.filter("seg is not null").select("key", "seg", "blob")
-    # a pair that has to share `needed` shingles shares one of the first n - needed + 1 of both,
-    # and can't share more than what either has in shared shingles
-    needed = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
-    near = F.expr(f"least(sa, sb) >= {needed} and pa <= na - {needed} + 1 and pb <= nb - {needed} + 1")
+    near = _near(percent)
     # the leader of a list has the least share of shingles of its own: of near copies, the original
     lead = posts.groupBy("tok").agg(F.min(F.struct(F.expr("1000 * (n - s) div n").alias("own"), F.xxhash64("key").alias("h"), "key", "n", "s", "pos")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").selectExpr("tok", "lead.key b", "lead.n nb", "lead.s sb", "lead.pos pb")
     star = posts.selectExpr("tok", "key a", "n na", "s sa", "pos pa").join(reshuffled(lead, "tok"), "tok").filter("a <> b").filter(near)
     first = cut(star.select(F.expr("least(struct(a, na), struct(b as a, nb as na))").alias("p"), F.expr("greatest(struct(a, na), struct(b as a, nb as na))").alias("q")).distinct().selectExpr("p.a a", "q.a b", "p.na na", "q.na nb"))
     links = cut(_links(first, segments, percent))
+    # rows that share a doc_id are one document
+    twins = meta.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("doc_id", "a")
+    links = links.unionByName(cut(meta.filter("n_shingles > 0").join(reshuffled(twins, "doc_id"), "doc_id").select("a", F.col("key").alias("b")).distinct()))
     joined = components(links)
     label = posts.select("key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"))
     named = posts.join(label, "key")
     mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
     rest = cut(named.join(reshuffled(mixed, "tok"), "tok", "left_semi"))
-    left, right = rest.selectExpr("tok", "key a", "n na", "s sa", "pos pa", "comp ca"), rest.selectExpr("tok", "key b", "n nb", "s sb", "pos pb", "comp cb")
-    met = left.join(right, "tok").filter("ca <> cb and a < b").filter(near).select("a", "b", "na", "nb")
+    met = _across(rest, percent)
     second = met.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     links = links.unionByName(cut(_links(second, segments, percent)))
     final = components(links).withColumnRenamed("node", "key")
@@ -257,3 +341,16 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64)
         sizes = np.frombuffer(b"".join(batch.column("a").to_pylist()), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), batch.column("toks"), batch.column("dfs")], names=["key", "n", "toks", "dfs"])
+
+
+def sql(percent: int = 80, k: int = 5) -> str:
+    """DuckDB's form: all pairs that share a shingle, and a recursive walk along the links."""
+    return rf"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < {k} then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i : i + {k} - 1], ' '))) end s from w),
+classes as (select doc_id, s, len(s) n, case when len(s) = 0 then doc_id else min(doc_id) over (partition by list_sort(s)) end class_id from sets),
+grams as (select doc_id, n, unnest(s) g from classes where doc_id = class_id and n > 0),
+edges as (select a.doc_id a, b.doc_id b from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+walk as (select distinct class_id d, class_id r from classes union select x.d, case when x.r = e.a then e.b else e.a end from walk x join edges e on x.r = e.a or x.r = e.b),
+least_of as (select d, min(r) r from walk group by d)
+select doc_id, n::BIGINT n_shingles, r component_id, class_id from classes join least_of on d = class_id"""

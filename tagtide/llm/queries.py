@@ -71,5 +71,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.sql(),
         "op6_line_dedup": lines.sql(),
         "op7_warc_revisits": warc.sql(),
+        "op8_ngram_jaccard_join": ngram_join.sql(),
         "op9_license_scan": licenses.sql(),
     }

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from tagtide.llm.components import components
-from tagtide.llm.ngram_join import ngram_components
+from tagtide.llm.ngram_join import _across, ngram_components
 
 from .conftest import sentence
 
@@ -77,3 +77,25 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 200), (300, 301), (301, 300), (301, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)} | {300: 300, 301: 300}
+
+
+def test_rows_that_share_a_doc_id_are_one_document(make_docs):
+    rows = [(1, "a b c d e f"), (2, "p q r s t u"), (5, "a b c d e f"), (5, "p q r s t u"), (7, "p Q r s t u"), (8, "other words"), (5, "")]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_components(make_docs(rows)).collect()}
+    assert got == {(1, 2, 1), (2, 2, 1), (5, 2, 1), (7, 2, 1), (8, 1, 8), (5, 0, 5)}
+
+
+def test_a_shingle_of_all_texts(make_docs):
+    """Counted per pack; the texts that hold it are told apart all the same."""
+    rng = random.Random(4)
+    rows = [(i, "the same five words here " + sentence(rng, rng.choice([2, 30]))) for i in range(200)]
+    rows += [(300 + i, rows[i][1]) for i in range(50)] + [(400 + i, mutated(rng, rows[150 + i][1], 0.01)) for i in range(50)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_components(make_docs(rows)).collect()}
+    assert got == brute(rows)
+
+
+def test_members_that_cannot_be_linked_are_not_paired(spark):
+    """A template with 15 % of own words in each text: equal lists, but no pair can reach the similarity."""
+    posts = [(tok, key, 100, 85, 16 + tok, key) for tok in range(5) for key in range(500)] + [(0, 1000, 85, 85, 1, 1000)]
+    met = _across(spark.createDataFrame(posts, "tok long, key long, n int, s int, pos int, comp long"), 80).distinct().collect()
+    assert {(r["a"], r["b"]) for r in met} == {(key, 1000) for key in range(500)}
