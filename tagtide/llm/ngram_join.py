@@ -39,7 +39,7 @@ from tagtide.llm.common import cut, reshuffled
 from tagtide.llm.components import components
 
 #: Shingles gathered before they are packed, and the texts of a pack whose common shingle is counted apart.
-PACK, HOT = 1_000_000, 4
+PACK, HOT = 500_000, 4
 #: What a packed row is: documents with class and size, postings, counts of hot shingles, postings of hot shingles.
 DOCS, POSTS, COUNTS, SIDE = range(4)
 
@@ -299,7 +299,7 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     n_words = docs.select((F.sum(F.octet_length("text")) / 5).cast("long")).first()[0] or 0
-    n_frag = max(16, 1 + n_words // tokens_per_fragment)
+    n_frag = max(48, 1 + n_words // tokens_per_fragment)
     packed = docs.mapInArrow(_pack(n_frag, k), "frag int, kind int, docs binary, keys binary, sizes binary, counts binary, toks binary")
     counted = cut(packed.groupBy("frag").applyInArrow(_count, "kind int, ids binary, keys binary, a binary, toks binary, dfs binary"))
     meta = cut(_expand(counted.filter(f"kind = {DOCS}")))

@@ -22,7 +22,7 @@ PLACE = _RNG.integers(1, 2**64, 64, dtype=U) | U(1)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes of text that are hashed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
