@@ -55,6 +55,11 @@ def _hot(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return toks[edge[:-1][counts >= HOT]], counts[counts >= HOT]
 
 
+def _named_as(toks: np.ndarray, frag) -> np.ndarray:
+    """A shingle's name: the low 56 bits of its hash, and 8 of its fragment's number, which stands for the high ones."""
+    return toks & tk.U(2**56 - 1) | (np.asarray(frag, tk.U) & tk.U(255)) << tk.U(56)
+
+
 def _pack(n_frag: int, k: int):
     """(doc_id, text) -> per fragment: class keys, set sizes, how many shingles each has here, their names.
 
@@ -87,23 +92,25 @@ def _pack(n_frag: int, k: int):
                 toks = np.concatenate(list(held.values()))
                 owner = np.repeat(np.arange(len(own), dtype=np.int32), lens)
                 hot, often = _hot(toks)
-                if len(hot):
+                if len(hot):  # few, in their names
                     is_hot = hot[np.minimum(np.searchsorted(hot, toks), len(hot) - 1)] == toks
                     there = owner[is_hot]
-                    rows.append((apart, SIDE, None, own[there].tobytes(), lens[there].astype(np.int32).tobytes(), b"", toks[is_hot].tobytes()))
+                    rows.append((apart, SIDE, None, own[there].tobytes(), lens[there].astype(np.int32).tobytes(), b"", _named_as(toks[is_hot], _frag(toks[is_hot])).tobytes()))
                     toks, owner = toks[~is_hot], owner[~is_hot]
-                    parts = np.searchsorted(_frag(hot), np.arange(n_frag + 1, dtype=np.uint64))
+                    spots = _frag(hot)
+                    hot, parts = _named_as(hot, spots), np.searchsorted(spots, np.arange(n_frag + 1, dtype=np.uint64))
                     rows += [(f, COUNTS, None, b"", b"", often[x:y].astype(np.int32).tobytes(), hot[x:y].tobytes()) for f, (x, y) in enumerate(zip(parts[:-1], parts[1:])) if x < y]
                 frag = _frag(toks)
                 order = np.argsort(frag.astype(np.uint16 if n_frag < 65536 else np.uint32), kind="stable")
                 toks, owner, frag = toks[order], owner[order], frag[order]
+                low = toks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]
                 at = np.searchsorted(frag, np.arange(n_frag + 1, dtype=np.uint64))
                 for f in range(n_frag):
                     a, b = at[f], at[f + 1]
                     if a == b:
                         continue
                     there, counts = np.unique(owner[a:b], return_counts=True)
-                    rows.append((f, POSTS, None, own[there].tobytes(), lens[there].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), toks[a:b].tobytes()))
+                    rows.append((f, POSTS, None, own[there].tobytes(), lens[there].astype(np.int32).tobytes(), counts.astype(np.int32).tobytes(), low[a:b].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _PACKED)], schema=_PACKED)
             held, docs, total = {}, [], 0
 
@@ -145,21 +152,23 @@ def _count(table: pa.Table) -> pa.Table:
     hot, where = np.unique(join(often, "toks", np.uint64), return_inverse=True)
     hot_df = np.bincount(where, join(often, "counts", np.int32), len(hot)).astype(np.int64)
     keys, sizes, counts = join(posts, "keys", np.int64), join(posts, "sizes", np.int32), join(posts, "counts", np.int32)
-    toks = join(posts, "toks", np.uint64)
-    uniq, code = np.unique(keys, return_inverse=True)
-    size_of = np.zeros(len(uniq), np.int32)
-    size_of[code] = sizes
-    owner = np.repeat(code.astype(np.int32), counts)
-    order = np.argsort(owner, kind="stable")
-    toks, owner = toks[order], owner[order]
+    # a class that is in several packs has its postings from the first
+    uniq, first, code = np.unique(keys, return_index=True, return_inverse=True)
+    size_of = sizes[first]
+    mine = np.zeros(len(keys), bool)
+    mine[first] = True
+    mine = np.repeat(mine, counts)
+    owner = np.repeat(code.astype(np.int32), counts)[mine]
+    low = np.zeros((len(owner), 8), np.uint8)
+    low[:, :7] = join(posts, "toks", np.uint8).reshape(-1, 7)[mine]
+    toks = _named_as(low.view("<u8").ravel(), table.column("frag")[0].as_py())
+    del low, mine
     order = np.argsort(toks, kind="stable")
     toks, owner = toks[order], owner[order]
-    fresh = np.ones(len(toks), bool)
-    fresh[1:] = (toks[1:] != toks[:-1]) | (owner[1:] != owner[:-1])
-    toks, owner = toks[fresh], owner[fresh]
+    del order
     edge = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]])) if len(toks) else np.zeros(0, np.int64)
     n = np.diff(np.append(edge, len(toks)))
-    # a shingle that is hot in some packs has postings from the others; a class may be in several packs, so its count is at least the number of classes
+    # a shingle that is hot in some packs has postings from the others; as a class may be in several packs, its count is at least the number of classes
     if len(hot) and len(edge):
         at = np.minimum(np.searchsorted(hot, toks[edge]), len(hot) - 1)
         known = hot[at] == toks[edge]
