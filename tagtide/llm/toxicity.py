@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
+from tagtide.llm.common import cut
 
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
@@ -167,52 +168,98 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) >= n)]
 
 
-def surely(k: int, n: int, z: float = 3.0) -> float:
-    """Lower end of Wilson's interval for a share of k in n."""
+def surely(k, n, z: float = 3.0):
+    """Lower end of Wilson's interval for a share of k in n, numbers or columns."""
     p = k / n
     return (p + z * z / (2 * n) - z * ((p * (1 - p) + z * z / (4 * n)) / n) ** 0.5) / (1 + z * z / n)
 
 
-def learn(texts: list[str], labels: list[int], reader: Reader, least: float = 0.35, least_begin: float = 0.7) -> tuple[dict[str, float], float]:
-    """Features whose share of toxic documents is surely above a limit, with that share, and the rate without any of them.
+def sketch(text: str, k: int = 16) -> list[int]:
+    """The k smallest hashes of a text's word pairs."""
+    w = text.lower().split()
+    return sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:])})[:k]
 
-    Shares are judged by the lower end of their confidence interval, so that chance makes no marker: a word
-    needs five documents at the least. Word beginnings, which clean words share by chance, need more. The
-    texts are read three times, so that no more than one document's words are held.
-    """
-    toxic: Counter = Counter()
-    for t, y in zip(texts, labels):
-        if y:
-            toxic.update({f for w in reader.words(t) for f in features(w)})
-    wanted = {f: n for f, n in toxic.items() if surely(n, n) >= least}
-    del toxic
-    every: Counter = Counter()
-    for t in texts:
-        every.update({f for w in reader.words(t) for f in features(w) if f in wanted})
-    chosen = {f: (n + 0.5) / (every[f] + 1) for f, n in wanted.items() if surely(n, every[f]) >= (least_begin if f.endswith("-") else least)}
-    rest = [y for t, y in zip(texts, labels) if not any(f in chosen for w in reader.words(t) for f in features(w))]
-    return chosen, (sum(rest) + 0.1) / (len(rest) + 1)
-
-
-def distinct(texts: list[str], k: int = 16, shared: int = 6) -> list[int]:
-    """Positions of texts that are no near copy of an earlier one: a family of copies would make markers of all its words.
-
-    Texts are compared by the k smallest hashes of their word pairs.
-    """
+
+def distinct(sketches: list[list[int]], shared: int = 6) -> list[int]:
+    """Positions of texts that are no near copy of an earlier one: a family of copies would make markers of all its words."""
     seen: dict[int, list[int]] = {}
     kept = []
-    for i, t in enumerate(texts):
-        w = t.lower().split()
-        sketch = sorted({zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:])})[:k]
-        near = Counter(j for h in sketch for j in seen.get(h, ()))
-        if near and near.most_common(1)[0][1] >= min(shared, len(sketch)):
+    for i, own in enumerate(sketches):
+        near = Counter(j for h in own for j in seen.get(h, ()))
+        if near and near.most_common(1)[0][1] >= min(shared, len(own)):
             continue
         kept.append(i)
-        for h in sketch:
+        for h in own:
             seen.setdefault(h, []).append(i)
     return kept
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([sketch(x) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))], names=["row", "sketch"])
+
+
+def _feature_counts(logs_of, most: int = 200_000):
+    """(text, toxic) -> (feature, number of toxic texts, number of texts), summed up as far as memory allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(logs_of.value.tolist())
+        toxic: Counter = Counter()
+        every: Counter = Counter()
+
+        def flush():
+            names = list(every)
+            for i in range(0, len(names), 50_000):
+                part = names[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[f] for f in part], pa.int64()), pa.array([every[f] for f in part], pa.int64())], names=["f", "k", "n"])
+
+        for batch in batches:
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                found = {f for w in reader.words(text) for f in features(w)}
+                every.update(found)
+                if y:
+                    toxic.update(found)
+                if len(every) > most:
+                    yield from flush()
+                    toxic.clear()
+                    every.clear()
+        yield from flush()
+
+    return run
+
+
+def _unmarked(logs_of, chosen: dict[str, float]):
+    """(text, toxic) -> (number of texts without a marker, number of toxic ones among them), one row per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(logs_of.value.tolist())
+        for batch in batches:
+            rest = [y for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()) if not any(f in chosen for w in reader.words(text) for f in features(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([len(rest)], pa.int64()), pa.array([sum(rest)], pa.int64())], names=["n", "k"])
+
+    return run
+
+
+def learn(train: DataFrame, logs_of, least: float = 0.35, least_begin: float = 0.7) -> tuple[dict[str, float], float]:
+    """(row, text, toxic) -> features whose share of toxic documents is surely above a limit, with that share, and the rate without any of them.
+
+    Shares are judged by the lower end of their confidence interval, so that chance makes no marker: a word
+    needs five documents at the least. Word beginnings, which clean words share by chance, need more. Texts
+    are read where they are: the driver gets a sketch of each sampled text and the chosen features.
+    """
+    marks = train.select("row", "text").mapInArrow(_sketched, "row long, sketch array<long>").groupBy("row").agg(F.first("sketch").alias("sketch")).orderBy("row").toPandas()
+    kept = marks["row"].iloc[distinct(marks["sketch"].tolist())]
+    if not len(kept):
+        return {}, 0.1
+    texts = train.join(F.broadcast(train.sparkSession.createDataFrame(kept.to_frame(), "row long")), "row").dropDuplicates(["row"]).select("text", "toxic")
+    counted = texts.mapInArrow(_feature_counts(logs_of), "f string, k long, n long").groupBy("f").agg(F.sum("k").alias("k"), F.sum("n").alias("n")).filter("k > 0")
+    sure = F.when(F.endswith("f", F.lit("-")), least_begin).otherwise(least)
+    markers = counted.filter((surely(F.col("k"), F.col("k")) >= least) & (surely(F.col("k"), F.col("n")) >= sure))
+    chosen = {r["f"]: (r["k"] + 0.5) / (r["n"] + 1) for r in markers.collect()}
+    rest = texts.mapInArrow(_unmarked(logs_of, chosen), "n long, k long").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    return chosen, ((rest["k"] or 0) + 0.1) / ((rest["n"] or 0) + 1)
+
+
 def strongest(word: str, chosen: dict[str, float]) -> float:
     """The greatest share among the word's features, 0 without any."""
     return max((chosen.get(f, 0.0) for f in features(word)), default=0.0)
@@ -263,10 +310,10 @@ def score(docs: DataFrame, labels: DataFrame, held_out, max_train: int = 8_000,
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     usable = usable.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = docs.join(F.broadcast(sample), "doc_id").filter("text is not null").orderBy("doc_id").toPandas().drop_duplicates("text")
-    train = train.iloc[distinct(train["text"].tolist())]
-    reader = Reader(logs.tolist())
-    chosen, base = learn(train["text"].tolist(), train["toxic"].tolist(), reader)
+    # equal texts count once, as toxic if one of them is; near copies are met in the order of the texts' hashes
+    train = cut(docs.join(F.broadcast(sample), "doc_id").filter("text is not null").select(F.xxhash64("text").alias("row"), "text", "toxic").groupBy("row").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")))
+    logs_of = spark.sparkContext.broadcast(logs)
+    chosen, base = learn(train, logs_of)
     shared = spark.sparkContext.broadcast((logs, chosen, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -92,3 +93,56 @@ def test_long_runs_are_read(spark, make_docs, labelled):
     more = [(5000, "= " * 3000), (5001, "x" * 100_000), (5002, "a " * 20_000), (5003, "the wr" + "e" * 100_000 + "tch")]
     got = {r["doc_id"]: r["predicted"] for r in score(spark, make_docs, rows + more, labels)}
     assert [got[i] for i, _ in more] == [0, 0, 0, 1]
+
+
+def plain_scores(rows, labels, docs_logs):
+    """The whole of learning and scoring, over all texts in one place."""
+    reader = tx.Reader(docs_logs.tolist())
+    usable = {}
+    for i, y in labels:
+        if y is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            usable[i] = max(y, usable.get(i, 0))
+    texts = {}
+    for i, t in rows:
+        if t is not None and i in usable:
+            texts[t] = max(usable[i], texts.get(t, 0))
+    return reader, texts
+
+
+def test_scores_against_brute_force(spark, make_docs, labelled):
+    rows, labels = labelled
+    rows = rows[:300] + [(2000 + i, rows[i][1]) for i in range(40)] + [(3000, "@$$ w r e t c h"), (3001, None), (3002, "")]
+    labels = labels[:300] + [(2000 + i, 1) for i in range(20)]
+    logs = tx.language_model(make_docs(rows))
+    reader, texts = plain_scores(rows, labels, logs)
+    order = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h")).orderBy("h").collect()
+    near, kept = [], []
+    for r in order:
+        own = tx.sketch(r["t"])
+        if not any(len(set(own) & set(other)) >= min(6, len(own)) for other in near if set(own) & set(other)):
+            near.append(own)
+            kept.append(r["t"])
+    found = {t: {f for w in reader.words(t) for f in tx.features(w)} for t in kept}
+    chosen = {}
+    for f in set().union(*found.values()):
+        n, k = sum(f in x for x in found.values()), sum(f in x and texts[t] for t, x in found.items())
+        if k and tx.surely(k, k) >= 0.35 and tx.surely(k, n) >= (0.7 if f.endswith("-") else 0.35):
+            chosen[f] = (k + 0.5) / (n + 1)
+    rest = [texts[t] for t, x in found.items() if not x & chosen.keys()]
+    base = (sum(rest) + 0.1) / (len(rest) + 1)
+    assert chosen
+    want = {}
+    for i, t in rows:
+        clean = 1 - base
+        for w in reader.words(t or ""):
+            clean *= 1 - max((chosen.get(f, 0) for f in tx.features(w)), default=0)
+        want[i] = 1 - clean
+    got = {r["doc_id"]: r["score"] for r in score(spark, make_docs, rows, labels)}
+    assert got.keys() == want.keys() and all(abs(got[i] - s) < 1e-12 for i, s in want.items())
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "some text", 0.5, 1, "r")], "doc_id int, text string, score double, toxic int, row string")
+    labels = spark.createDataFrame([(1, 1, "t")], "doc_id int, toxic int, text string")
+    got = tx.score(df, labels, lambda c: F.lit(False)).collect()
+    assert [(r["doc_id"], r["held_out"]) for r in got] == [(1, False)]
