@@ -3,18 +3,24 @@
 A window of `width` words is repeated if its word sequence also starts in a document with a smaller
 doc_id. The search for repeated windows goes by short phrases that every window contains:
 
-1. Anchors. Of the k-word phrases in each window, the one with the smallest hash is its anchor, so
-   equal windows have equal anchors wherever they stand; about one phrase in (width - k) / 2 is chosen.
-   Anchors that occur in two documents at least are the recurring phrases.
-2. Automata. Each shard of documents compiles the recurring phrases that it needs into one Aho-Corasick
-   automaton, and all its documents stream through it; hits give every occurrence of the phrases.
-   Sharding by documents, not by phrases, keeps the work in proportion to the text: a phrase is in the
-   automata of the shards that hold it only, and no document is streamed twice.
-3. Confirmation. Windows whose anchor was hit are fingerprinted (64-bit rolling hash). Inside a shard,
-   only a fingerprint's first document is passed on, later ones are repeats already; between shards, a
-   running minimum over the sorted fingerprints tells first documents from later ones.
+1. Confirmed phrases. Of the k-word phrases in each window, the one with the smallest hash is its anchor,
+   so equal windows have equal anchors wherever they stand; about one phrase in (width - k) / 2 is chosen.
+   Anchors that occur in two documents at least are the recurring phrases; each is taken from the first
+   document that has it.
+2. Automata. The phrases are dealt to shards of `per_automaton`, and each shard is compiled into an
+   Aho-Corasick automaton. A word is two characters in it, 9 bits of its hash each, from two alphabets, so
+   that nodes have few branches and no match begins inside a word.
+3. Occurrences. All documents stream through all automata: a task puts `STREAM` bytes of text after one
+   another and runs each automaton over them. Hits are every occurrence of the phrases. Windows whose
+   anchor was hit are fingerprinted (64-bit rolling hash), which also drops false hits. Inside a stream, only a
+   fingerprint's first document is passed on, later ones are repeats already; between streams, a running
+   minimum over the sorted fingerprints tells first documents from later ones, so that a passage that is
+   everywhere has one row per `STREAM` bytes of text there.
 4. Removal. Each document is joined to its repeated windows and loses the words they cover.
 
+The driver holds the phrases of one pass, at most `per_pass`; more of them are that many passes over the
+documents more, so the work grows with the text times the number of recurring phrases in millions.
+
 A fingerprint collision could remove a window wrongly, with a chance of about n^2 / 2^65 for n windows
 that share anchors.
 """
@@ -30,10 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
-from tagtide.llm.common import cut
+from tagtide.llm.common import cut, small
 
-#: Bytes of text in one shard.
-SHARD = 4 << 20
+#: Bytes of text that are run through the automata at a time.
+STREAM = 16 << 20
+#: Bits of a word's hash in each of its two characters, and where their alphabets begin. A blank pair parts documents.
+BITS, ALPHABETS, PART = 9, (0x100, 0x1100), 1
 _REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -84,30 +92,74 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), [len(c) for c in cells]))], names=["gram", "doc_id"])
 
 
-def _locate(width: int, k: int, shared):
-    """(doc_id, text[, grams]) -> per document with hits: its windows to confirm, and those that repeat inside the shard."""
+def coded(h: np.ndarray) -> np.ndarray:
+    """Word hashes -> two characters a word."""
+    out = np.empty((len(h), 2), np.uint32)
+    for j, first in enumerate(ALPHABETS):
+        out[:, j] = ((h >> tk.U(BITS * j)) & tk.U((1 << BITS) - 1)).astype(np.uint32) + np.uint32(first)
+    return out
 
-    def shard(docs):
-        automaton = ahocorasick.Automaton()
-        for _, words, grams, recurring in docs:
-            _, chosen = anchors(grams, width - k + 1)
-            for p in np.flatnonzero(chosen & recurring).tolist():
-                automaton.add_word(" " + " ".join(words[p : p + k]) + " ", 1 + sum(map(len, words[p : p + k])) + k)
-        if not len(automaton):
-            return
-        automaton.make_automaton()
+
+def _phrases(k: int):
+    """(text, grams) of the documents that first have them -> (gram, phrase), coded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tk.raw(batch.column("text"))
+            lists = batch.column("grams")
+            for i, j in tk.pieces(off):
+                h, at = tk.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                grams = tk.gram_hashes(h, k)
+                for d in range(j - i):
+                    if at[d + 1] - at[d] < k:
+                        continue
+                    own, where = np.unique(grams[at[d] : at[d + 1] - k + 1], return_index=True)
+                    wanted = lists[i + d].values.to_numpy().view(tk.U)
+                    p = np.searchsorted(own, wanted)
+                    there = own[np.minimum(p, len(own) - 1)] == wanted
+                    spots = at[d] + where[p[there]]
+                    text = coded(h[(spots[:, None] + np.arange(k)).ravel()]).tobytes().decode("utf-32-le")
+                    names = wanted[there].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([text[x : x + 2 * k] for x in range(0, len(text), 2 * k)], pa.string())], names=["gram", "phrase"])
+
+    return run
+
+
+def _compiled(phrases: str, k: int) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for i in range(0, len(phrases), 2 * k):
+        automaton.add_word(phrases[i : i + 2 * k])
+    automaton.make_automaton()
+    return automaton
+
+
+def _locate(width: int, k: int, shared, stream: int):
+    """(doc_id, text) -> per document with hits: its windows to confirm, and those that repeat inside the stream."""
+
+    def search(docs):
+        """docs: (doc_id, word hashes). Word positions are counted through all of them, with one between any two."""
+        at = np.cumsum([0] + [len(h) + 1 for _, h in docs])
+        chars = np.full((at[-1], 2), PART, np.uint32)
+        for (_, h), a in zip(docs, at):
+            chars[a : a + len(h)] = coded(h)
+        text = chars.tobytes().decode("utf-32-le")
+        del chars
+        hit = np.zeros(at[-1], bool)
+        for phrases in shared.value:
+            automaton = _compiled(phrases, k)
+            ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
+            hit[(ends + 1) // 2 - k] = True
+        del text
         found = []
-        for doc_id, words, grams, _ in docs:
-            starts = np.cumsum([0] + [len(w) + 1 for w in words])
-            hits = [end - size + 1 for end, size in automaton.iter(" " + " ".join(words) + " ")]
-            if not hits:
+        for (doc_id, h), a in zip(docs, at):
+            mine = hit[a : a + len(h) - k + 1]
+            if not mine.any():
                 continue
-            hit = np.zeros(len(grams), bool)
-            hit[np.searchsorted(starts, hits)] = True
+            grams = tk.gram_hashes(h, k)
             least, _ = anchors(grams, width - k + 1)
-            there = np.flatnonzero(_sliding(np.where(hit, grams, tk.U(2**64 - 1)), width - k + 1, np.minimum) == least)
-            h, _ = tk.word_hashes(*_bytes(words))
-            found.append((doc_id, there.astype(np.int32), tk.rolling(h, width)[there]))
+            there = np.flatnonzero(_sliding(np.where(mine, grams, tk.U(2**64 - 1)), width - k + 1, np.minimum) == least)
+            if len(there):
+                found.append((doc_id, there.astype(np.int32), tk.rolling(h, width)[there]))
         if not found:
             return
         prints = np.concatenate([f[2] for f in found])
@@ -126,31 +178,20 @@ def _locate(width: int, k: int, shared):
         held, size = [], 0
 
         def flush():
-            rows = list(shard(held))
+            rows = list(search(held)) if held else []
             for i in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 500]), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_id", "prints", "starts", "repeats"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             buf, off = tk.raw(batch.column("text"))
-            known = shared.value if shared is not None else None
             for i, j in tk.pieces(off):
                 h, at = tk.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                grams = tk.gram_hashes(h, k)
                 for d in range(j - i):
-                    if at[d + 1] - at[d] < width:
-                        continue
-                    own = grams[at[d] : at[d + 1] - k + 1]
-                    if known is None:
-                        known_here = np.sort(np.frombuffer(batch.column("grams")[i + d].as_py() or b"", np.int64).view(tk.U))
-                    else:
-                        known_here = known
-                    recurring = known_here[np.minimum(np.searchsorted(known_here, own), len(known_here) - 1)] == own if len(known_here) else np.zeros(len(own), bool)
-                    if recurring.any():
-                        text = bytes(buf[off[i + d] : off[i + d + 1]]).decode("utf-8")
-                        held.append((int(ids[i + d]), split_words(text), own.copy(), recurring))
-                        size += len(text)
-                if size >= SHARD:
+                    if at[d + 1] - at[d] >= width:
+                        held.append((int(ids[i + d]), h[at[d] : at[d + 1]]))
+                size += off[j] - off[i]
+                if size >= stream:
                     yield from flush()
                     held, size = [], 0
         yield from flush()
@@ -158,11 +199,6 @@ def _locate(width: int, k: int, shared):
     return run
 
 
-def _bytes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    data = " ".join(words).encode("utf-8")
-    return np.frombuffer(data, np.uint8), np.array([0, len(data)])
-
-
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [np.frombuffer(x, np.int64) for x in batch.column("prints").to_pylist()]
@@ -201,7 +237,7 @@ def _remove(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, max_broadcast: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, per_automaton: int = 250_000, per_pass: int = 1_000_000, stream: int = STREAM) -> DataFrame:
     """(doc_id, text) -> (doc_id, text, n_words, n_removed, spans), one row per input row.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if a window of `width` words that covers it
@@ -210,26 +246,23 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, max_broadcast:
     text has no words and the text ''. Rows with a null doc_id take no part and lose nothing. Rows that
     repeat a doc_id are one document: they don't repeat each other, and lose the same windows. Other
     columns are ignored. An empty table gives no rows.
-
-    Recurring phrases are broadcast up to `max_broadcast` (8 bytes each) and joined to their documents by a
-    shuffle beyond.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     real = docs.filter("doc_id is not null")
-    held = cut(real.mapInArrow(_anchors(width, k), "doc_id long, grams binary"))
-    pairs = held.mapInArrow(_unpack, "gram long, doc_id long")
-    recurring = cut(pairs.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"))
-    if recurring.count() <= max_broadcast:
-        grams = recurring.toPandas()["gram"].to_numpy(np.int64).view(tk.U)
-        shared = spark.sparkContext.broadcast(np.sort(grams))
-        sharded = real
-    else:
-        shared = None
-        own = pairs.join(recurring, "gram").groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
-        packed = own.mapInArrow(_pack_lists, "doc_id long, grams binary")
-        sharded = real.join(packed, "doc_id")
-    located = cut(sharded.mapInArrow(_locate(width, k, shared), "doc_id long, prints binary, starts binary, repeats binary"))
+    held = real.mapInArrow(_anchors(width, k), "doc_id long, grams binary")
+    recurring = cut(held.mapInArrow(_unpack, "gram long, doc_id long").groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("b")).filter("doc_id < b").drop("b"))
+    firsts = real.join(small(recurring.select("doc_id").distinct()), "doc_id", "left_semi")
+    lists = recurring.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
+    # rows that share a doc_id give a phrase from one of them
+    phrases = cut(firsts.join(lists, "doc_id").select("text", "grams").mapInArrow(_phrases(k), "gram long, phrase string").groupBy("gram").agg(F.min("phrase").alias("phrase")))
+    n = phrases.count()
+    passes, located = max(1, -(-n // per_pass)), None
+    for i in range(passes):
+        part = sorted(phrases.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == i).select("phrase").toPandas()["phrase"])
+        shared = spark.sparkContext.broadcast(["".join(part[a : a + per_automaton]) for a in range(0, len(part), per_automaton)])
+        now = cut(real.mapInArrow(_locate(width, k, shared, stream), "doc_id long, prints binary, starts binary, repeats binary"))
+        located = now if located is None else located.unionByName(now)
     first = F.first("doc_id").over(Window.partitionBy("mark").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     windows = located.mapInArrow(_windows, "mark long, doc_id long, start int").withColumn("first", first).filter("doc_id > first")
     other = windows.groupBy("doc_id").agg(F.collect_list("start").alias("other"))
@@ -238,12 +271,6 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, max_broadcast:
     return docs.join(gone, "doc_id", "left").select("doc_id", "text", "local", "other").mapInArrow(_remove(width), "doc_id long, text string, n_words long, n_removed long, spans array<struct<start: int, stop: int>>")
 
 
-def _pack_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cells = [np.array(x, np.int64).tobytes() for x in batch.column("grams").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cells, pa.binary())], names=["doc_id", "grams"])
-
-
 def sql(width: int = 50) -> str:
     """DuckDB's form, quadratic in nothing but large: every window is a row."""
     return rf"""

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from tagtide.llm import phrases
 from tagtide.llm.phrases import remove_repeats
 
 from .conftest import sentence
@@ -28,9 +29,9 @@ def brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize("max_broadcast", [10**6, 0])
+@pytest.mark.parametrize("options", [{}, {"per_automaton": 3, "per_pass": 10, "stream": 3000}])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(make_docs, seed, max_broadcast):
+def test_against_brute_force(make_docs, seed, options):
     rng = random.Random(seed)
     passages = [sentence(rng, n) for n in (20, 21, 35, 60, 19)]
     rows = []
@@ -40,7 +41,7 @@ def test_against_brute_force(make_docs, seed, max_broadcast):
         rows.append((i, rng.choice([" ", "\n", " \t"]).join(parts)))
     rows += [(60 + i, rows[i][1]) for i in range(5)] + [(70, "é " * 200), (71, "é " * 150)]
     rng.shuffle(rows)
-    got = remove_repeats(make_docs(rows), width=20, k=6, max_broadcast=max_broadcast).collect()
+    got = remove_repeats(make_docs(rows), width=20, k=6, **options).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in got} == brute(rows, 20)
     assert all(sum(s["stop"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
 
@@ -55,3 +56,31 @@ def test_edges(make_docs):
 
 def test_empty_table(make_docs):
     assert remove_repeats(make_docs([])).collect() == []
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 5, "g"), (2, text, 6, "h")], "doc_id int, text string, n_words int, gram string")
+    assert [(r["doc_id"], r["n_words"], r["n_removed"], r["text"] == text) for r in remove_repeats(df).orderBy("doc_id").collect()] == [(1, 60, 0, True), (2, 60, 60, False)]
+
+
+def test_automata_locate_every_phrase():
+    """Every occurrence of the phrases, in all documents of a stream, and nothing without the automata."""
+    rng = random.Random(3)
+    passage = sentence(rng, 60).split()
+    texts = [sentence(rng, 30).split() + passage + sentence(rng, i).split() for i in range(5)] + [sentence(rng, 200).split()]
+    hashes = [phrases.tk.word_hashes(*phrases.tk.raw(phrases.pa.array([" ".join(t)])))[0] for t in texts]
+    located = lambda shards: {r["doc_id"] for b in phrases._locate(50, 8, type("Shared", (), {"value": shards}), 1 << 20)(iter([batch])) for r in b.to_pylist()}
+    batch = phrases.pa.RecordBatch.from_arrays([phrases.pa.array(range(6)), phrases.pa.array([" ".join(t) for t in texts])], names=["doc_id", "text"])
+    grams = phrases.tk.gram_hashes(hashes[0], 8)
+    anchor = int(phrases.np.flatnonzero(phrases.anchors(grams[30:83], 43)[1])[0]) + 30
+    phrase = phrases.coded(hashes[0][anchor : anchor + 8]).tobytes().decode("utf-32-le")
+    assert located([phrase]) == {0, 1, 2, 3, 4} and located([]) == set() and located([phrase[::-1]]) == set()
+
+
+def test_nothing_is_removed_without_the_automata(make_docs, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(60))
+    assert [r["n_removed"] for r in remove_repeats(make_docs([(1, text), (2, text)])).orderBy("doc_id").collect()] == [0, 60]
+    never = phrases._compiled("\x02" * 16, 8)
+    monkeypatch.setattr(phrases, "_compiled", lambda phrases, k: never)
+    assert [r["n_removed"] for r in remove_repeats(make_docs([(1, text), (2, text)])).orderBy("doc_id").collect()] == [0, 0]
