@@ -39,7 +39,7 @@ from tagtide.llm import tokens as tk
 from tagtide.llm.common import cut, small
 
 #: Bytes of text that are run through the automata at a time.
-STREAM = 16 << 20
+STREAM = 8 << 20
 #: Bits of a word's hash in each of its two characters, and where their alphabets begin. A blank pair parts documents.
 BITS, ALPHABETS, PART = 9, (0x100, 0x1100), 1
 _REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -94,9 +94,10 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def coded(h: np.ndarray) -> np.ndarray:
     """Word hashes -> two characters a word."""
-    out = np.empty((len(h), 2), np.uint32)
+    out = np.empty((len(h), 2), "<u2")
     for j, first in enumerate(ALPHABETS):
-        out[:, j] = ((h >> tk.U(BITS * j)) & tk.U((1 << BITS) - 1)).astype(np.uint32) + np.uint32(first)
+        out[:, j] = (h >> tk.U(BITS * j)).astype(np.uint16) & np.uint16((1 << BITS) - 1)
+        out[:, j] += np.uint16(first)
     return out
 
 
@@ -118,7 +119,7 @@ def _phrases(k: int):
                     p = np.searchsorted(own, wanted)
                     there = own[np.minimum(p, len(own) - 1)] == wanted
                     spots = at[d] + where[p[there]]
-                    text = coded(h[(spots[:, None] + np.arange(k)).ravel()]).tobytes().decode("utf-32-le")
+                    text = coded(h[(spots[:, None] + np.arange(k)).ravel()]).tobytes().decode("utf-16-le")
                     names = wanted[there].view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([text[x : x + 2 * k] for x in range(0, len(text), 2 * k)], pa.string())], names=["gram", "phrase"])
 
@@ -139,10 +140,10 @@ def _locate(width: int, k: int, shared, stream: int):
     def search(docs):
         """docs: (doc_id, word hashes). Word positions are counted through all of them, with one between any two."""
         at = np.cumsum([0] + [len(h) + 1 for _, h in docs])
-        chars = np.full((at[-1], 2), PART, np.uint32)
+        chars = np.full((at[-1], 2), PART, "<u2")
         for (_, h), a in zip(docs, at):
             chars[a : a + len(h)] = coded(h)
-        text = chars.tobytes().decode("utf-32-le")
+        text = chars.tobytes().decode("utf-16-le")
         del chars
         hit = np.zeros(at[-1], bool)
         for phrases in shared.value:
@@ -237,7 +238,7 @@ def _remove(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, per_automaton: int = 250_000, per_pass: int = 1_000_000, stream: int = STREAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, per_automaton: int = 100_000, per_pass: int = 1_000_000, stream: int = STREAM) -> DataFrame:
     """(doc_id, text) -> (doc_id, text, n_words, n_removed, spans), one row per input row.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if a window of `width` words that covers it
