@@ -9,7 +9,8 @@ doc_id. The search for repeated windows goes by short phrases that every window
    document that has it.
 2. Automata. The phrases are dealt to shards of `per_automaton`, and each shard is compiled into an
    Aho-Corasick automaton. A word is two characters in it, 9 bits of its hash each, from two alphabets, so
-   that nodes have few branches and no match begins inside a word.
+   that nodes have few branches and no match begins inside a word. The first `HEAD` words of a phrase are its
+   pattern, which halves the automata; phrases with one beginning share it.
 3. Occurrences. All documents stream through all automata: a task puts `STREAM` bytes of text after one
    another and runs each automaton over them. Hits are every occurrence of the phrases. Windows whose
    anchor was hit are fingerprinted (64-bit rolling hash), which also drops false hits. Inside a stream, only a
@@ -42,6 +43,8 @@ from tagtide.llm.common import cut, small
 STREAM = 8 << 20
 #: Bits of a word's hash in each of its two characters, and where their alphabets begin. A blank pair parts documents.
 BITS, ALPHABETS, PART = 9, (0x100, 0x1100), 1
+#: Words of a phrase that are its pattern.
+HEAD = 4
 _REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -101,8 +104,8 @@ def coded(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _phrases(k: int):
-    """(text, grams) of the documents that first have them -> (gram, phrase), coded."""
+def _phrases(k: int, head: int):
+    """(text, grams) of the documents that first have them -> (gram, phrase): the phrase's first `head` words, coded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,22 +122,22 @@ def _phrases(k: int):
                     p = np.searchsorted(own, wanted)
                     there = own[np.minimum(p, len(own) - 1)] == wanted
                     spots = at[d] + where[p[there]]
-                    text = coded(h[(spots[:, None] + np.arange(k)).ravel()]).tobytes().decode("utf-16-le")
+                    text = coded(h[(spots[:, None] + np.arange(head)).ravel()]).tobytes().decode("utf-16-le")
                     names = wanted[there].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([text[x : x + 2 * k] for x in range(0, len(text), 2 * k)], pa.string())], names=["gram", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([text[x : x + 2 * head] for x in range(0, len(text), 2 * head)], pa.string())], names=["gram", "phrase"])
 
     return run
 
 
-def _compiled(phrases: str, k: int) -> ahocorasick.Automaton:
+def _compiled(phrases: str, head: int) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for i in range(0, len(phrases), 2 * k):
-        automaton.add_word(phrases[i : i + 2 * k])
+    for i in range(0, len(phrases), 2 * head):
+        automaton.add_word(phrases[i : i + 2 * head])
     automaton.make_automaton()
     return automaton
 
 
-def _locate(width: int, k: int, shared, stream: int):
+def _locate(width: int, k: int, shared, stream: int, head: int):
     """(doc_id, text) -> per document with hits: its windows to confirm, and those that repeat inside the stream."""
 
     def search(docs):
@@ -147,9 +150,10 @@ def _locate(width: int, k: int, shared, stream: int):
         del chars
         hit = np.zeros(at[-1], bool)
         for phrases in shared.value:
-            automaton = _compiled(phrases, k)
+            automaton = _compiled(phrases, head)
             ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-            hit[(ends + 1) // 2 - k] = True
+            del automaton  # before the next one is built
+            hit[(ends + 1) // 2 - head] = True
         del text
         found = []
         for (doc_id, h), a in zip(docs, at):
@@ -166,9 +170,9 @@ def _locate(width: int, k: int, shared, stream: int):
         prints = np.concatenate([f[2] for f in found])
         ids = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
         order = np.lexsort((ids, prints))
-        head = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
+        lead = np.concatenate([[True], prints[order][1:] != prints[order][:-1]])
         first = np.empty(len(ids), np.int64)
-        first[order] = ids[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        first[order] = ids[order][np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
         later = ids > first
         at = np.cumsum([0] + [len(f[1]) for f in found])
         for (doc_id, there, marks), a, b in zip(found, at[:-1], at[1:]):
@@ -256,13 +260,14 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, per_automaton:
     firsts = real.join(small(recurring.select("doc_id").distinct()), "doc_id", "left_semi")
     lists = recurring.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     # rows that share a doc_id give a phrase from one of them
-    phrases = cut(firsts.join(lists, "doc_id").select("text", "grams").mapInArrow(_phrases(k), "gram long, phrase string").groupBy("gram").agg(F.min("phrase").alias("phrase")))
+    head = min(HEAD, k)
+    phrases = cut(firsts.join(lists, "doc_id").select("text", "grams").mapInArrow(_phrases(k, head), "gram long, phrase string").groupBy("gram").agg(F.min("phrase").alias("phrase")))
     n = phrases.count()
     passes, located = max(1, -(-n // per_pass)), None
     for i in range(passes):
-        part = sorted(phrases.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == i).select("phrase").toPandas()["phrase"])
+        part = sorted(phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == i).select("phrase").distinct().toPandas()["phrase"])
         shared = spark.sparkContext.broadcast(["".join(part[a : a + per_automaton]) for a in range(0, len(part), per_automaton)])
-        now = cut(real.mapInArrow(_locate(width, k, shared, stream), "doc_id long, prints binary, starts binary, repeats binary"))
+        now = cut(real.mapInArrow(_locate(width, k, shared, stream, head), "doc_id long, prints binary, starts binary, repeats binary"))
         located = now if located is None else located.unionByName(now)
     first = F.first("doc_id").over(Window.partitionBy("mark").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     windows = located.mapInArrow(_windows, "mark long, doc_id long, start int").withColumn("first", first).filter("doc_id > first")

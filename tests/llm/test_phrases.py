@@ -70,17 +70,17 @@ def test_automata_locate_every_phrase():
     passage = sentence(rng, 60).split()
     texts = [sentence(rng, 30).split() + passage + sentence(rng, i).split() for i in range(5)] + [sentence(rng, 200).split()]
     hashes = [phrases.tk.word_hashes(*phrases.tk.raw(phrases.pa.array([" ".join(t)])))[0] for t in texts]
-    located = lambda shards: {r["doc_id"] for b in phrases._locate(50, 8, type("Shared", (), {"value": shards}), 1 << 20)(iter([batch])) for r in b.to_pylist()}
+    located = lambda shards: {r["doc_id"] for b in phrases._locate(50, 8, type("Shared", (), {"value": shards}), 1 << 20, 4)(iter([batch])) for r in b.to_pylist()}
     batch = phrases.pa.RecordBatch.from_arrays([phrases.pa.array(range(6)), phrases.pa.array([" ".join(t) for t in texts])], names=["doc_id", "text"])
     grams = phrases.tk.gram_hashes(hashes[0], 8)
     anchor = int(phrases.np.flatnonzero(phrases.anchors(grams[30:83], 43)[1])[0]) + 30
-    phrase = phrases.coded(hashes[0][anchor : anchor + 8]).tobytes().decode("utf-16-le")
+    phrase = phrases.coded(hashes[0][anchor : anchor + 4]).tobytes().decode("utf-16-le")
     assert located([phrase]) == {0, 1, 2, 3, 4} and located([]) == set() and located([phrase[::-1]]) == set()
 
 
 def test_nothing_is_removed_without_the_automata(make_docs, monkeypatch):
     text = " ".join(f"w{i}" for i in range(60))
     assert [r["n_removed"] for r in remove_repeats(make_docs([(1, text), (2, text)])).orderBy("doc_id").collect()] == [0, 60]
-    never = phrases._compiled("\x02" * 16, 8)
-    monkeypatch.setattr(phrases, "_compiled", lambda phrases, k: never)
+    never = phrases._compiled("\x02" * 8, 4)
+    monkeypatch.setattr(phrases, "_compiled", lambda phrases, head: never)
     assert [r["n_removed"] for r in remove_repeats(make_docs([(1, text), (2, text)])).orderBy("doc_id").collect()] == [0, 0]
