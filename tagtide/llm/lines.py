@@ -89,16 +89,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     return out.drop("_ld_id", "_ld_gone", "_ld_lines")
 
 
-def sql(min_chars: int = 40, levels: int = 3) -> str:
-    spots = " union all ".join(
-        f"select doc_id, {k} k, unnest(range(1, len(ls) - {2**k} + 2)) i, ls from ls where len(ls) >= {2**k}" for k in range(levels + 1)
-    )
+def sql(min_chars: int = 40) -> str:
+    """DuckDB's form, over runs of all lengths: each line meets its earlier copies, and copies at one distance that follow one another are a maximal run."""
     return f"""
 with ls as (select doc_id, string_split(text, chr(10)) ls from documents where text is not null),
-spots as (select doc_id, k, i, array_to_string(ls[i : i + (1 << k) - 1], chr(10)) run from ({spots})),
-long as (select * from spots where length(run) - ((1 << k) - 1) >= {min_chars}),
-ranked as (select *, min(struct_pack(doc_id, i)) over (partition by k, run) f from long),
-gone as (select distinct doc_id, unnest(range(i, i + (1 << k))) i from ranked where struct_pack(doc_id, i) > f),
 per as (select doc_id, unnest(ls) l, unnest(range(1, len(ls) + 1)) i from ls),
+met as (select b.doc_id, b.i, a.doc_id src, b.i - a.i off, length(b.l) n from per a join per b on a.l = b.l and (a.doc_id < b.doc_id or a.doc_id = b.doc_id and a.i < b.i)),
+runs as (select *, i - row_number() over (partition by doc_id, src, off order by i) run from met),
+long as (select doc_id, src, off, run from runs group by all having sum(n) >= {min_chars}),
+gone as (select distinct doc_id, i from runs semi join long using (doc_id, src, off, run)),
 kept as (select doc_id, count(*) n_lines, count(g.i) n_removed, coalesce(string_agg(l, chr(10) order by i) filter (where g.i is null), '') text from per left join gone g using (doc_id, i) group by doc_id)
 select d.doc_id, coalesce(n_lines, 0)::INT n_lines, coalesce(n_removed, 0)::INT n_removed, sha256(k.text) kept_sha256 from documents d left join kept k using (doc_id)"""
