@@ -26,14 +26,20 @@ def profile(texts: DataFrame, column: str = "text", size: int = 1000) -> DataFra
 def distance(texts: DataFrame, known: DataFrame, key: str, column: str = "text") -> DataFrame:
     """(key, total, matched, distance): the share of a text's distinct trigrams that a profile lacks, null without any.
 
-    `known` has a fixed size, so it is broadcast.
+    `known` has a fixed size: it is one array, broadcast, and each text is compared with it where it is.
     """
-    own = texts.select(key, F.explode_outer(F.array_distinct(trigrams(F.col(column)))).alias("ngram"))
-    found = own.join(F.broadcast(known.select("ngram", F.lit(1).alias("hit"))), "ngram", "left")
-    sums = found.groupBy(key).agg(F.count("ngram").alias("total"), F.count("hit").alias("matched"))
+    grams = known.agg(F.array_sort(F.collect_set("ngram")).alias("_known"))
+    own = texts.select(key, F.array_distinct(trigrams(F.col(column))).alias("_own")).join(F.broadcast(grams))
+    sums = own.select(key, F.size("_own").cast("long").alias("total"), F.size(F.array_intersect("_own", "_known")).cast("long").alias("matched"))
     return sums.withColumn("distance", F.when(F.col("total") > 0, 1 - F.col("matched") / F.col("total")))
 
 
+def english_only(texts: DataFrame, profile: DataFrame, key: str, column: str = "text", limit: float = 0.40) -> DataFrame:
+    """The rows whose text the profile of English knows; texts without a trigram are none."""
+    near = distance(texts.withColumn("_text", F.col(column)).withColumn("_row", F.struct(*texts.columns)), profile, "_row", "_text")
+    return near.filter(F.col("distance") < limit).select("_row.*")
+
+
 def identified(distances: DataFrame, language: str = "en", limit: float = 0.40, certain: float = 0.022) -> DataFrame:
     """language where the distance is below the limit, else 'unknown'; whether it is reasonably certain."""
     return distances.withColumn("language", F.when(F.col("distance") < limit, language).otherwise("unknown")).withColumn("certain", F.coalesce(F.col("distance") < certain, F.lit(False)))

@@ -55,11 +55,11 @@ def conditional_entropy(posts: DataFrame, normalised: bool = False) -> DataFrame
 def mutual_information(features: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, mi) in bits, of a binary label and the presence of a feature.
 
-    features: (row, keys) of present features; labels: (row, label 0/1) of all rows. Features in every row or in
-    none, which tell nothing, get 0.
+    features: (row, keys) of present features, each once per row, with the row's label if it is at hand, as
+    `label`; labels: (row, label 0/1) of all rows. Features in every row or in none, which tell nothing, get 0.
     """
     totals = labels.agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_n1"))
-    present = features.select("row", *keys).distinct().join(labels, "row")
+    present = features if "label" in features.columns else features.select("row", *keys).join(labels, "row")
     cells = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_f"), F.sum("label").alias("_f1")).join(F.broadcast(totals))
     n, n1, f, f1 = (F.col(c).cast("double") for c in ("_n", "_n1", "_f", "_f1"))
     term = lambda x, pf, pc: information_term(x / n, pf / n, pc / n)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagtide.functions.scalars import order_of_magnitude_bin
-from tagtide.sources.posts import sequential_ids
+from tagtide.sources.posts import kept, sequential_ids
 
 
 def column_deviations(nonzeros: DataFrame, n_rows: DataFrame, key: str = "feature_id", value: str = "value") -> DataFrame:
@@ -23,10 +25,35 @@ def scaled(nonzeros: DataFrame, deviations: DataFrame, key: str = "feature_id",
     return joined.withColumn(value, F.when(F.col("stdev") > 0, F.col(value) / F.col("stdev")).otherwise(0.0)).drop("stdev")
 
 
+def quantiles(df: DataFrame, column: str, group: list[str], shares: list[float]) -> DataFrame:
+    """(group, q array<double>): exact quantiles with linear interpolation; nulls take no part.
+
+    Equal values are counted first. A range exchange by group and value then numbers the counts from partition to
+    partition, so that no task holds a group; only the values around a quantile go on.
+    """
+    of = F.struct(*group) if group else F.struct(F.lit(0))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(of.alias("_g"), F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = kept(counts.repartitionByRange("_g", "_v").withColumn("_p", F.spark_partition_id()))
+    parts = placed.groupBy("_p", "_g").agg(F.sum("_c").alias("_n"))
+    every = Window.partitionBy("_g")
+    offsets = parts.select("_p", "_g", F.coalesce(F.sum("_n").over(every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("_all"))
+    joined = placed.join(F.broadcast(offsets), ["_p", "_g"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy("_p", "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    # a value holds the places from _first to _last; a quantile lies at place share * (n - 1)
+    spans = joined.withColumn("_last", upto - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("_all") - 1)).alias("at")) for i, s in enumerate(shares)]))
+    at = F.col("_w.at")
+    near = spans.withColumn("_w", wanted).withColumn("_lo", F.floor(at).between(F.col("_first"), F.col("_last"))).withColumn("_hi", F.ceil(at).between(F.col("_first"), F.col("_last"))).filter("_lo or _hi")
+    both = near.groupBy("_g", F.col("_w.i").alias("_i"), at.alias("_at")).agg(F.max(F.when(F.col("_lo"), F.col("_v"))).alias("a"), F.max(F.when(F.col("_hi"), F.col("_v"))).alias("b"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("_at") - F.floor("_at"))
+    out = both.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_q"))
+    return out.select(*([F.col(f"_g.{c}").alias(c) for c in group]), F.transform("_q", lambda x: x["v"]).alias("q"))
+
+
 def quartiles(df: DataFrame, column: str, group: list[str] | None = None) -> DataFrame:
     """q1, median, q3 and iqr, exact, with linear interpolation."""
-    out = df.groupBy(*(group or [])).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    return out.select(*(group or []), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    q = quantiles(df, column, group or [], [0.25, 0.5, 0.75])
+    return q.select(*(group or []), F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
 def without_outliers(df: DataFrame, column: str, group: list[str], whisker: float = 1.5) -> DataFrame:
@@ -48,8 +75,11 @@ def trend(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-def kendall_tau(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Rank correlation over all pairs of a stated small set, such as topics."""
+def kendall_tau(df: DataFrame, key: str, x: str, y: str, most: int = 5_000) -> DataFrame:
+    """Rank correlation over all pairs of a small set, such as topics; more than `most` rows are an error."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} rows: correlation by pairs is for sets of {most} at most")
     a, b = (df.select(F.col(key).alias(f"k{i}"), F.col(x).alias(f"x{i}"), F.col(y).alias(f"y{i}")) for i in (1, 2))
     pairs = a.join(F.broadcast(b), F.col("k1") < F.col("k2"))
     return pairs.agg((F.sum(F.signum(F.col("x1") - F.col("x2")) * F.signum(F.col("y1") - F.col("y2"))) / F.count(F.lit(1))).alias("tau"))

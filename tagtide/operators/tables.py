@@ -74,13 +74,19 @@ def splits(births: DataFrame, train_until, test_from) -> DataFrame:
     return births.withColumn("split", F.when(F.col("birthday") < train_until, "train").when(F.col("birthday") < test_from, "val").otherwise("test"))
 
 
-def labelled_posts(uses: DataFrame, topical: DataFrame, split_of: DataFrame) -> DataFrame:
-    """(tid, u, label, split): 1 iff a topical tag is used; a post goes by its first time and, outside of training,
-    is dropped if it holds a topical tag of the training split.
+def labelled_posts(uses: DataFrame, topical: DataFrame, val_from, test_from) -> DataFrame:
+    """(tid, u, label, split): posts by their time, before val_from, from then on, and from test_from on (microseconds).
 
-    split_of: (h, split) of all tags; topical: (h).
+    A topical tag belongs to the split in which it is first used. A post is positive iff it uses a topical tag of
+    its own split; posts after training that use a topical tag of the training split are dropped.
+    topical: (h). The times are numbers or columns of uses.
     """
-    marked = uses.join(topical.withColumn("topical", F.lit(1)), "h", "left").join(split_of, "h", "left")
-    posts = marked.groupBy("tid", "u").agg(F.max(F.coalesce("topical", F.lit(0))).alias("label"), F.max("split").alias("latest"), F.max(F.when((F.col("topical") == 1) & (F.col("split") == "train"), 1).otherwise(0)).alias("trained"))
-    when = F.when(F.col("latest") == "train", "train").when(F.col("latest") == "val", "val").otherwise("test")
-    return posts.withColumn("split", when).filter("split = 'train' or trained = 0").select("tid", "u", "label", "split")
+    when = lambda us: F.when(us < val_from, "train").when(us < test_from, "val").otherwise("test")
+    tags = uses.join(F.broadcast(topical.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.min("us").alias("born"))
+    marked = uses.join(tags, "h", "left").withColumns({"split": when(F.col("us")), "of": F.when(F.col("born").isNotNull(), when(F.col("born")))})
+    posts = marked.groupBy("tid", "u").agg(
+        F.min(F.struct("us", "split"))["split"].alias("split"),
+        F.collect_set("of").alias("of"),  # three values at most
+    )
+    label = F.array_contains("of", F.col("split")).cast("int")
+    return posts.filter((F.col("split") == "train") | ~F.array_contains("of", "train")).select("tid", "u", label.alias("label"), "split")

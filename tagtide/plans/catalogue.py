@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tagtide.functions import entities, language
 from tagtide.functions import scalars as sc
 from tagtide.operators import groups, information, lag, metrics, sampling, statistics, tables
+from tagtide.sources.posts import kept
 
 N_ITER, SIZE, SEED = 3, 20, 42
 MAX = sc.MAX_LAG_MS
@@ -79,7 +80,7 @@ def _ranking(spark, d):
 
 def _word_features(spark, d):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    return _labelled(spark, d).select(F.col("doc_id").alias("row"), F.lower("lang").alias("family"), F.explode(words).alias("feature"))
+    return _labelled(spark, d).select(F.col("doc_id").alias("row"), F.col("toxic").alias("label"), F.lower("lang").alias("family"), F.explode(words).alias("feature"))
 
 
 def _row_labels(spark, d):
@@ -124,9 +125,9 @@ FIRST = f"{MEMBERS}, fu as (select iteration, g, h, min(birthday) f, sum(nbr_twe
 
 def _user_groups(spark, d):
     """Membership: a few rows per iteration and group that many branches of a plan use, so they are kept."""
-    control = _control(spark, d).persist()
+    control = kept(_control(spark, d))
     b1 = groups.sensors(control, _network(spark, d), SEED)
-    return control.select("iteration", F.lit("A").alias("group"), "u").unionByName(b1.select("iteration", F.lit("B").alias("group"), F.col("sensor").alias("u"))).distinct().persist()
+    return kept(control.select("iteration", F.lit("A").alias("group"), "u").unionByName(b1.select("iteration", F.lit("B").alias("group"), F.col("sensor").alias("u"))).distinct())
 
 
 NM = f"{MEMBERS}, nm as (select iteration, g, count(*)::BIGINT n from (select distinct * from mem) join th using (u) group by all)"
@@ -137,11 +138,10 @@ dp as (select iteration, tid from (select iteration, tid, n, row_number() over (
 
 def _post_groups(spark, d, members=None):
     uses, members = _uses(spark, d), _user_groups(spark, d) if members is None else members
-    sizes = members.join(uses.select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n")).persist()
+    sizes = kept(members.join(uses.select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n")))
     c = groups.sampled_posts(uses, sizes.filter("group = 'B'").select("iteration", "n"), "C")
     b_posts = members.filter("group = 'B'").join(uses.select("u", "tid"), "u").select("iteration", "tid").distinct()
-    ranked = b_posts.join(F.broadcast(sizes.filter("group = 'A'").select("iteration", "n")), "iteration")
-    dd = sampling.exactly_per(ranked, F.col("n"), ["iteration"], "D", "tid").select("iteration", "tid")
+    dd = groups.sampled_posts(b_posts, sizes.filter("group = 'A'").select("iteration", "n"), "D")
     return c.select("iteration", F.lit("C").alias("group"), "tid").unionByName(dd.select("iteration", F.lit("D").alias("group"), "tid"))
 
 
@@ -159,7 +159,7 @@ cb as (select iteration, tid from (select iteration, tid, n, row_number() over (
 def groups_cbis_c20(spark, d):
     """As many posts as another group wrote, of all users, or of those with twenty tags at least."""
     uses, members = _uses(spark, d), _user_groups(spark, d)
-    sizes = members.join(uses.select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n")).persist()
+    sizes = kept(members.join(uses.select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n")))
     heavy = uses.join(_users(spark, d).filter("nbr_hashtags >= 20").select("u"), "u", "left_semi")
     c20 = groups.sampled_posts(heavy, sizes.filter("group = 'B'").select("iteration", "n"), "C20")
     c_bis = groups.sampled_posts(uses, sizes.filter("group = 'A'").select("iteration", "n"), "C_bis")
@@ -171,20 +171,34 @@ def group_sizes(spark, d):
     return _user_groups(spark, d).join(_uses(spark, d).select("u", "tid"), "u").groupBy("iteration", "group").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _efg(spark, d, members=None):
+    """E, F and G: as many posts as group B wrote in the iteration, of the users with the least lag, the most tags, the most posts."""
+    uses, users, members = _uses(spark, d), _users(spark, d), _user_groups(spark, d) if members is None else members
+    scores = lag.user_scores(users, _births(spark, d), _per_user(spark, d))
+    tops = {"E": groups.top_users(scores, "lagtime", SIZE, False), "F": groups.top_users(users, "nbr_hashtags", SIZE), "G": groups.top_users(users, "nbr_tweets", SIZE)}
+    sizes = members.filter("group = 'B'").join(uses.select("u", "tid"), "u").groupBy("iteration").agg(F.count(F.lit(1)).alias("n"))
+    return groups.top_user_posts(uses, tops, kept(sizes), SEED)
+
+
 def _lags(spark, d):
-    members = _user_groups(spark, d)
-    first = lag.first_uses(members, _per_user(spark, d)).unionByName(lag.first_uses_of_posts(_post_groups(spark, d, members), _uses(spark, d)))
-    names = spark.createDataFrame([(i, g) for i in range(N_ITER) for g in "ABCD"], "iteration long, group string")
+    members, uses = _user_groups(spark, d), kept(_uses(spark, d))
+    posts = _post_groups(spark, d, members).unionByName(_efg(spark, d, members))
+    first = lag.first_uses(members, tables.birthdays(uses, ["u", "h"])).unionByName(lag.first_uses_of_posts(posts, uses))
+    names = spark.createDataFrame([(i, g) for i in range(N_ITER) for g in "ABCDEFG"], "iteration long, group string")
     return lag.lag_times(first, _births(spark, d), names)
 
 
-CUBE = f"{POSTS}, fa as (select iteration, g, h, min(birthday) f from mem join pu using (u) group by all union all select iteration, 'C', h, min(us) from cp join th using (tid) group by all union all select iteration, 'D', h, min(us) from dp join th using (tid) group by all), lg as (select iteration, x.g, gb.h, coalesce((f - birthday) // 1000, {MAX}) lag from it, (values ('A'), ('B'), ('C'), ('D')) x(g), gb left join fa using (iteration, g, h))"
-CUBE = CUBE.replace("from it, (values ('A'), ('B'), ('C'), ('D')) x(g), gb left join fa using (iteration, g, h)", "from (select iteration, g, h, birthday from it, (values ('A'), ('B'), ('C'), ('D')) x(g), gb) x left join fa using (iteration, g, h)").replace("x.g, gb.h, coalesce", "g, h, coalesce")
+TOP_USERS = f"tops as (select 'E' g, u from (select u from sc order by lagtime, u limit {SIZE}) union all select 'F', u from (select u from us order by nbr_hashtags desc, u limit {SIZE}) union all select 'G', u from (select u from us order by nbr_tweets desc, u limit {SIZE}))"
+EFG = f"""{POSTS}, {SCORE.split(', sc as')[1].join(['sc as', ''])}, {TOP_USERS},
+ep as (select g, iteration, tid from (select t.g, nm.iteration, tid, n, row_number() over (partition by t.g, nm.iteration order by md5('{SEED}' || t.g || ':' || nm.iteration || ':' || tid), tid) r from tops t join th using (u), nm where nm.g = 'B') where r <= n)"""
+CUBE = f"""{EFG}, fa as (select iteration, g, h, min(birthday) f from mem join pu using (u) group by all union all select iteration, 'C', h, min(us) from cp join th using (tid) group by all
+  union all select iteration, 'D', h, min(us) from dp join th using (tid) group by all union all select iteration, g, h, min(us) from ep join th using (tid) group by all),
+lg as (select iteration, g, h, coalesce((f - birthday) // 1000, {MAX}) lag from (select iteration, g, h, birthday from it, (select unnest(string_split('A,B,C,D,E,F,G', ',')) g) x, gb) x left join fa using (iteration, g, h))"""
 
 
-@query("lag_cube", f"with {CUBE} select iteration, h, " + ", ".join(f"max(case when g = '{g}' then lag end) \"lag_time{g}\"" for g in "ABCD") + " from lg group by all")
+@query("lag_cube", f"with {CUBE} select iteration, h, " + ", ".join(f"max(case when g = '{g}' then lag end) \"lag_time{g}\"" for g in "ABCDEFG") + " from lg group by all")
 def lag_cube(spark, d):
-    return lag.lag_cube(_lags(spark, d), list("ABCD"))
+    return lag.lag_cube(_lags(spark, d), list("ABCDEFG"))
 
 
 @query("mean_lag", f"with {CUBE} select g \"group\", h, round(avg(lag), 6) mean_lag from lg group by all")
@@ -259,19 +273,26 @@ def users_table(spark, d):
 @query("tag_splits", f"with {GB}, q as (select quantile_cont(birthday, 0.5)::BIGINT t1, quantile_cont(birthday, 0.75)::BIGINT t2 from gb) select h, birthday, case when birthday < t1 then 'train' when birthday < t2 then 'val' else 'test' end split from gb, q")
 def tag_splits(spark, d):
     births = _births(spark, d)
-    q = births.agg(F.percentile("birthday", F.array(F.lit(0.5), F.lit(0.75))).alias("q")).select(F.round(F.col("q")[0]).cast("long").alias("t1"), F.round(F.col("q")[1]).cast("long").alias("t2"))
-    return tables.splits(births.join(F.broadcast(q)), F.col("t1"), F.col("t2")).select("h", "birthday", "split")
+    return tables.splits(births.join(F.broadcast(_split_times(births))), F.col("t1"), F.col("t2")).select("h", "birthday", "split")
 
 
-LABELLED = f"{TH}, spl as (select h, case when min(us) < (select quantile_disc(us, 0.3) from th) then 'train' when min(us) < (select quantile_disc(us, 0.31) from th) then 'val' else 'test' end split from th group by h)"
+def _split_times(births):
+    q = statistics.quantiles(births, "birthday", [], [0.5, 0.75])
+    return q.select(F.round(F.col("q")[0]).cast("long").alias("t1"), F.round(F.col("q")[1]).cast("long").alias("t2"))
 
 
-@query("topical_labels", f"with {TH}, p as (select tid, u, max((h like 'click%')::INT) \"label\" from th group by all) select * from p")
+TIMES = f"{GB}, q as (select quantile_cont(birthday, 0.5)::BIGINT t1, quantile_cont(birthday, 0.75)::BIGINT t2 from gb)"
+_split = lambda us: f"case when {us} < t1 then 'train' when {us} < t2 then 'val' else 'test' end"
+
+
+@query("topical_labels", f"""with {TIMES}, tp as (select h, {_split('birthday')} own from gb, q where h like 'click%'),
+m as (select tid, u, us, h, {_split('us')} split from th, q), p as (select tid, u, arg_min(split, us) split, list(distinct own) filter (where own is not null) own from m left join tp using (h) group by all)
+select tid, u, coalesce(list_contains(own, split), false)::INT "label", split from p where split = 'train' or not coalesce(list_contains(own, 'train'), false)""")
 def topical_labels(spark, d):
     uses = _uses(spark, d)
+    times = _split_times(_births(spark, d))
     topical = uses.filter(F.col("h").startswith("click")).select("h").distinct()
-    split_of = uses.select("h").distinct().withColumn("split", F.lit("train"))
-    return tables.labelled_posts(uses, topical, split_of).select("tid", "u", "label")
+    return tables.labelled_posts(uses.join(F.broadcast(times)), topical, F.col("t1"), F.col("t2"))
 
 
 # --- projections, filters, joins
@@ -447,11 +468,9 @@ def top_users_efg(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("groups_efg", f"""with {TOPS}, e as (select 'E' g, * from (select u from sc order by lagtime, u limit {SIZE}) union all select 'F', * from (select u from us order by nbr_hashtags desc, u limit {SIZE}) union all select 'G', * from (select u from us order by nbr_tweets desc, u limit {SIZE}))
-select g, tid from e join th using (u) qualify row_number() over (partition by g order by md5('{SEED}:' || g || ':' || tid), tid) <= 100""")
+@query("groups_efg", f"with {EFG} select g \"group\", iteration, tid from ep")
 def groups_efg(spark, d):
-    posts = top_users_efg(spark, d).join(_uses(spark, d).select("u", "tid"), "u").select("g", "tid")
-    return sampling.exactly_per(posts, F.lit(100), ["g"], SEED, "tid")
+    return _efg(spark, d)
 
 
 @query("random_mention", f"with {NET} select src, arg_min(dst, struct_pack(a := md5('{SEED}:' || src || ':' || dst), b := dst)) dst from net group by src")
@@ -956,14 +975,12 @@ QUERIES["learner_rows"] = learner_rows
 
 @query("hashtag_birthday_stream", SQL["hashtag_birthday"])
 def hashtag_birthday_stream(spark, d):
-    """The same table from a stream over the events' files, drained into memory."""
-    import uuid
-
-    from tagtide.sources.posts import stream_checkpoint
-    from tagtide.streaming.birthdays import live_birthdays, start
+    """The same table from a stream over the events' files, each batch's changes written and the latest read back."""
+    from tagtide.sources.posts import stream_checkpoint, work_folder
+    from tagtide.streaming.birthdays import latest, live_birthdays, start
 
     path = f"{d}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
-    name = f"birthdays_{uuid.uuid4().hex}"
-    start(live_birthdays(tables.event_uses(events)), name, stream_checkpoint(spark)).awaitTermination()
-    return spark.table(name)
+    folder = work_folder(spark, "birthdays")
+    start(live_birthdays(tables.event_uses(events)), folder, stream_checkpoint(spark)).awaitTermination()
+    return latest(spark, folder, "h string, birthday long, nbr_tweets long", ["h"])

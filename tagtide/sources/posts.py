@@ -6,16 +6,23 @@ parse are dropped one by one, never a whole file.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagtide.functions.language import english_only
+
 RAW = "created_at string, text string, user struct<screen_name: string>"
 FLAT = "id bigint, text string, created_at string, screen_name string"
 RAW_START = '{"created_at":'
 # Fixed value: the parts of a feature file's header, in order, and the families they count.
 HEADER = ["rows", "columns", "term", "hashtag", "mention", "user", "location"]
 FAMILIES = HEADER[2:]
+# Fixed value: characters that JSON escapes beyond what the format demands.
+RARE = r"[\u007f-\u009f\u2000-\u20ff]"
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, start: str | None = None, glob: str | None = None, recursive: bool = True) -> DataFrame:
@@ -53,20 +60,47 @@ def sequential_ids(df: DataFrame, order: list[str | Column], start: int = 1, nam
 
     A range exchange sorts the rows; counts per partition, a few numbers, give each partition its offset.
     """
-    ordered = _kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
+    ordered = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     firsts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     offsets = firsts.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))
     return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_row") - F.col("_first") + start).drop("_part", "_row", "_first", "_offset")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Range bounds are sampled: partitions must not be computed twice. In the session's checkpoint folder, if it has one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. A local session without one gets a folder of its own; a cluster has none by chance."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tagtide-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Range bounds are sampled, so partitions must not be computed twice: they are written to the checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def english_posts(posts: DataFrame, profile: DataFrame) -> DataFrame:
+    """Posts in English, by their text's trigrams; links, mentions and tags don't count."""
+    bare = F.regexp_replace("text", r"https?://\S+|[@#\uff20\uff03]\S+", " ")
+    return english_only(posts.withColumn("_bare", bare), profile, "id", "_bare").drop("_bare")
 
 
-def to_json_lines(df: DataFrame) -> DataFrame:
-    """One JSON object per row, nulls kept."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+def escaped_json(line: Column) -> Column:
+    """JSON as strict consumers have it: '/' as '\\/', and DEL, C1 controls and U+2000-20FF as \\uXXXX."""
+    rare = F.when(line.rlike(RARE), F.array_join(F.transform(F.split(line, ""), lambda c: F.when(c.rlike(RARE), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(c)), 4, "0"))).otherwise(c)), "")).otherwise(line)
+    return F.replace(rare, F.lit("/"), F.lit("\\/"))
+
+
+def to_json_lines(df: DataFrame, escaped: bool = False) -> DataFrame:
+    """One JSON object per row, nulls kept; NaN and infinities are null."""
+    finite = [F.when(F.isnan(f.name) | (F.abs(f.name) == float("inf")), None).otherwise(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in df.schema.fields]
+    line = F.to_json(F.struct(*finite), {"ignoreNullFields": "false"})
+    return df.select((escaped_json(line) if escaped else line).alias("value"))
 
 
 def write_json_lines(df: DataFrame, path: str, compression: str = "bzip2") -> None:
@@ -139,10 +173,11 @@ def topic_schema() -> T.StructType:
     return T.StructType([T.StructField("topic", T.StringType()), T.StructField("ap_rank", T.IntegerType()), T.StructField("mi_rank", T.IntegerType()), T.StructField("ap", T.DoubleType()), T.StructField("mi", T.DoubleType())])
 
 
-def stream_checkpoint(spark: SparkSession) -> str:
-    """A new folder for a stream's state, below spark.checkpoint.dir where the session names one."""
-    import tempfile
-    import uuid
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/stream-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="tagtide-stream-")
+
+def stream_checkpoint(spark: SparkSession) -> str:
+    """A new folder for a stream's state."""
+    return work_folder(spark, "stream")

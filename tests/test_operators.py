@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tagtide.functions import language
 from tagtide.operators import groups, lag, metrics, ranking_models, sampling, statistics
-from tagtide.streaming.birthdays import live_birthdays, start, windowed_uses
+from tagtide.streaming.birthdays import latest, live_birthdays, start, windowed_uses
 
 
 def test_profiles_save_and_load(spark, tmp_path):
@@ -71,10 +71,14 @@ def test_outliers_and_bins(spark):
 def test_streams(spark, tmp_path):
     spark.createDataFrame([("a", 5, "2024-01-01 10:00:00"), ("a", 3, "2024-01-02 10:00:00"), ("b", 4, "2024-01-09 10:00:00")], "h string, us long, t string").withColumn("ts", F.to_timestamp("t")).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("h string, us long, t string, ts timestamp").parquet(str(tmp_path / "in"))
-    start(live_birthdays(stream), "live", str(tmp_path / "c1")).awaitTermination()
-    assert {tuple(r) for r in spark.table("live").collect()} == {("a", 3, 2), ("b", 4, 1)}
-    start(windowed_uses(stream, "ts"), "win", str(tmp_path / "c2"), "append").awaitTermination()
-    assert {(r["h"], r["n"]) for r in spark.table("win").collect()} <= {("a", 1), ("b", 1)}
+    start(live_birthdays(stream), str(tmp_path / "live"), str(tmp_path / "c1")).awaitTermination()
+    live = lambda: {tuple(r) for r in latest(spark, str(tmp_path / "live"), "h string, birthday long, nbr_tweets long", ["h"]).collect()}
+    assert live() == {("a", 3, 2), ("b", 4, 1)}
+    spark.createDataFrame([("b", 1, "2024-01-10 10:00:00")], "h string, us long, t string").withColumn("ts", F.to_timestamp("t")).write.mode("append").parquet(str(tmp_path / "in"))
+    start(live_birthdays(stream), str(tmp_path / "live"), str(tmp_path / "c1")).awaitTermination()
+    assert live() == {("a", 3, 2), ("b", 1, 2)}
+    start(windowed_uses(stream, "ts"), str(tmp_path / "win"), str(tmp_path / "c2"), "append").awaitTermination()
+    assert {(r["h"], r["n"]) for r in spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "win")).collect()} <= {("a", 1), ("b", 1)}
 
 
 def test_models_rank_separable_rows(spark):

@@ -73,11 +73,12 @@ def test_properties(tmp_path):
 
 
 def test_temporal_labels(spark):
-    uses = spark.createDataFrame([(1, "a", "t1", 0), (2, "a", "t1", 0), (2, "a", "v", 0), (3, "b", "s", 0), (4, "b", "n", 0)], "tid int, u string, h string, us int")
-    split_of = spark.createDataFrame([("t1", "train"), ("v", "val"), ("s", "test"), ("n", "train")], "h string, split string")
-    topical = spark.createDataFrame([("t1",), ("s",)], "h string")
-    got = {tuple(r) for r in tables.labelled_posts(uses, topical, split_of).collect()}
-    assert got == {(1, "a", 1, "train"), (3, "b", 1, "test"), (4, "b", 0, "train")}
+    rows = [(1, "a", "old", 0), (2, "a", "mid", 10), (3, "b", "old", 10), (4, "b", "new", 20), (5, "b", "mid", 20), (6, "c", "plain", 20), (7, "c", "new", 20), (7, "c", "old", 20), (8, "d", "mid", 11), (8, "d", "plain", 11)]
+    uses = spark.createDataFrame(rows, "tid int, u string, h string, us int")
+    topical = spark.createDataFrame([("old",), ("mid",), ("new",), ("unseen",)], "h string")
+    got = {tuple(r) for r in tables.labelled_posts(uses, topical, 10, 20).collect()}
+    # a tag of another split labels nothing, one of training drops the post
+    assert got == {(1, "a", 1, "train"), (2, "a", 1, "val"), (4, "b", 1, "test"), (5, "b", 0, "test"), (6, "c", 0, "test"), (8, "d", 1, "val")}
 
 
 def test_probabilities_sum_to_one(spark):
