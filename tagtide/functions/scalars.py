@@ -62,7 +62,7 @@ def is_special_char(c: Column) -> Column:
 
 
 def two_digits(c: Column) -> Column:
-    return F.format_number(c, "0.##")
+    return F.call_function("format_number", c, F.lit("0.##"))
 
 
 def duration(ms: Column) -> Column:

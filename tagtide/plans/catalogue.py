@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -494,9 +495,9 @@ def bernoulli_sample(spark, d):
     return sampling.bernoulli(_uses(spark, d).select("tid", "u"), 0.1, SEED, "tid")
 
 
-@query("negative_sample", f"with {DOCS}, p as (select count(*) n from docs where toxic = 1) select doc_id, toxic from docs where toxic = 1 union all select doc_id, toxic from (select doc_id, toxic, row_number() over (order by md5('{SEED}:' || doc_id), doc_id) r from docs where toxic = 0), p where r <= n * 2")
+@query("negative_sample", f"with {DOCS}, p as (select count(*) n from docs where toxic = 1) select doc_id, toxic from docs where toxic = 1 union all select doc_id, toxic from (select doc_id, toxic, row_number() over (order by md5('{SEED}:' || doc_id), doc_id) r from docs where toxic = 0), p where r <= n * 9")
 def negative_sample(spark, d):
-    return sampling.negatives(_labelled(spark, d).select("doc_id", "toxic"), "toxic", 2, SEED, "doc_id")
+    return sampling.negatives(_labelled(spark, d).select("doc_id", "toxic"), "toxic", 9, SEED, "doc_id")
 
 
 @query("decimation", f"with {TH} select tid from (select tid, row_number() over (order by us, tid) r from th) where (r - 1) % 25 = 0")
@@ -767,80 +768,150 @@ def profile_distance(spark, d):
     return _r(language.frequency_distance(*_two_profiles(spark, d)), "distance")
 
 
-# --- text: literal posts, whose results are stated
+# --- text: posts made of all events, whose entities are known from the columns
 
 
-POSTS_TEXT = [
-    (1, "Mention @user and #tag plus #日本語 http://example.com/a#b"),
-    (2, "RT @first: see www.twitter.com and $TWTR $brk.a"),
-    (3, " @reply hello @user/list #1 #a1 &#no"),
-    (4, "no entities here < 3"),
-    (5, "https://t.co/abc123/more #end"),
-]
+AB = "\U0001f6a2"
+POST = "ev as (select event_id id, event_id % 5 kind, 'u' || user_id u, 'u' || (props->>'$.k') other, event_type || '_' || (props->>'$.k') tag, 'a' || (props->>'$.k') a, 'http://example.com/' || event_id || '#b' url, 'https://t.co/a' || event_id short from events)"
+PS = f"""{POST}, ps as (select *, case kind when 0 then 'Mention @' || u || ' and #' || tag || ' plus #日本語 ' || url when 1 then 'RT @' || u || ': see www.example.com and $AB $brk.a'
+  when 2 then ' @' || u || ' hello @' || other || '/list #1 #' || a || ' &#no' when 3 then 'no entities here < ' || id else short || '/more {AB} #' || a end t from ev)"""
 
 
-def _posts(spark):
-    return spark.createDataFrame(POSTS_TEXT, "id int, text string")
+def _posts(spark, d):
+    """(id, text): five kinds of posts, from each event by its id."""
+    e = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("u"), "user_id").alias("u"), F.get_json_object("props", "$.k").alias("k"), "event_type")
+    kinds = [
+        F.concat(F.lit("Mention @"), "u", F.lit(" and #"), "event_type", F.lit("_"), "k", F.lit(" plus #日本語 http://example.com/"), "id", F.lit("#b")),
+        F.concat(F.lit("RT @"), "u", F.lit(": see www.example.com and $AB $brk.a")),
+        F.concat(F.lit(" @"), "u", F.lit(" hello @u"), "k", F.lit("/list #1 #a"), "k", F.lit(" &#no")),
+        F.concat(F.lit("no entities here < "), "id"),
+        F.concat(F.lit("https://t.co/a"), "id", F.lit(f"/more {AB} #a"), "k"),
+    ]
+    return e.select("id", F.element_at(F.array(*kinds), (F.col("id") % 5 + 1).cast("int")).alias("text"))
 
 
-@query("hashtag_extract", "select * from (values (1, 'tag,日本語'), (2, ''), (3, 'a1'), (4, ''), (5, 'end')) x(id, tags)")
+def _case(*values):
+    return "case kind " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
+
+
+@query("hashtag_extract", f"with {PS} select id, {_case('tag || ' + repr(',日本語'), repr(''), 'a', repr(''), 'a')} tags from ps")
 def hashtag_extract(spark, d):
-    return _posts(spark).select("id", F.array_join(entities.hashtags(F.col("text")), ",").alias("tags"))
+    return _posts(spark, d).select("id", F.array_join(entities.hashtags(F.col("text")), ",").alias("tags"))
 
 
-@query("mention_extract", "select * from (values (1, 'user'), (2, 'first'), (3, 'reply'), (4, ''), (5, '')) x(id, users)")
+@query("mention_extract", f"with {PS} select id, {_case('u', 'u', 'u', repr(''), repr(''))} users, {_case('u', 'u', 'u || ' + repr(',') + ' || other', repr(''), repr(''))} \"all\" from ps")
 def mention_extract(spark, d):
-    return _posts(spark).select("id", F.array_join(entities.mentions(F.col("text")), ",").alias("users"))
+    """Mentioned users, without and with owners of lists."""
+    return _posts(spark, d).select("id", F.array_join(entities.mentions(F.col("text")), ",").alias("users"), F.array_join(entities.mentions(F.col("text"), True), ",").alias("all"))
 
 
-@query("reply_extract", "select * from (values (1, null), (2, null), (3, 'reply'), (4, null), (5, null)) x(id, \"user\")")
+@query("reply_extract", f"with {PS} select id, {_case('null', 'null', 'u', 'null', 'null')} \"user\" from ps")
 def reply_extract(spark, d):
-    return _posts(spark).select("id", entities.reply_to(F.col("text")).alias("user"))
+    return _posts(spark, d).select("id", entities.reply_to(F.col("text")).alias("user"))
 
 
-@query("cashtag_extract", "select * from (values (1, ''), (2, 'TWTR,brk.a'), (3, ''), (4, ''), (5, '')) x(id, tags)")
+@query("cashtag_extract", f"with {PS} select id, case when kind = 1 then 'AB,brk.a' else '' end tags from ps")
 def cashtag_extract(spark, d):
-    return _posts(spark).select("id", F.array_join(entities.cashtags(F.col("text")), ",").alias("tags"))
+    return _posts(spark, d).select("id", F.array_join(entities.cashtags(F.col("text")), ",").alias("tags"))
 
 
-@query("url_extract", "select * from (values (1, 'http://example.com/a#b'), (2, 'www.twitter.com'), (3, ''), (4, ''), (5, 'https://t.co/abc123')) x(id, urls)")
+@query("url_extract", f"with {PS} select id, {_case('url', repr('www.example.com'), repr(''), repr(''), 'short')} urls from ps")
 def url_extract(spark, d):
     found = entities.entities_udf(("URL",))(F.col("text"))
-    return _posts(spark).select("id", F.array_join(F.transform(found, lambda e: e["value"]), ",").alias("urls"))
+    return _posts(spark, d).select("id", F.array_join(F.transform(found, lambda e: e["value"]), ",").alias("urls"))
+
+
+def _span(kind, start, length):
+    return f"'{kind}:' || ({start}) || '-' || ({start} + {length})"
+
+
+SPANS = _case(
+    " || ',' || ".join([_span("MENTION", "strpos(t, '@') - 1", "1 + len(u)"), _span("HASHTAG", "strpos(t, '#') - 1", "1 + len(tag)"), _span("HASHTAG", "strpos(t, ' plus #') + 5", "4"), _span("URL", "strpos(t, 'http') - 1", "len(url)")]),
+    " || ',' || ".join([_span("MENTION", "strpos(t, '@') - 1", "1 + len(u)"), _span("URL", "strpos(t, 'www') - 1", "15"), _span("CASHTAG", "strpos(t, '$AB') - 1", "3"), _span("CASHTAG", "strpos(t, '$AB') + 3", "6")]),
+    " || ',' || ".join([_span("MENTION", "1", "1 + len(u)"), _span("MENTION", "strpos(t, 'hello @') + 5", "6 + len(other)"), _span("HASHTAG", "strpos(t, '#a') - 1", "1 + len(a)")]),
+    "''",
+    # the ship is two UTF-16 units
+    " || ',' || ".join([_span("URL", "0", "len(short)"), _span("HASHTAG", "strpos(t, '#')", "1 + len(a)")]),
+)
 
 
-@query("entity_spans", "select * from (values (1, 'MENTION:8-13,HASHTAG:18-22,HASHTAG:28-32,URL:33-55'), (2, 'MENTION:3-9,URL:15-30,CASHTAG:35-40,CASHTAG:41-47'), (3, 'MENTION:1-7,MENTION:14-24,HASHTAG:28-31'), (4, ''), (5, 'URL:0-19,HASHTAG:25-29')) x(id, spans)")
+@query("entity_spans", f"with {PS} select id, {SPANS} spans from ps")
 def entity_spans(spark, d):
+    """All entities in UTF-16 units."""
     found = entities.entities_udf()(F.col("text"))
-    return _posts(spark).select("id", F.array_join(F.transform(found, lambda e: F.format_string("%s:%d-%d", e["type"], e["start"], e["end"])), ",").alias("spans"))
+    return _posts(spark, d).select("id", F.array_join(F.transform(found, lambda e: F.format_string("%s:%d-%d", e["type"], e["start"], e["end"])), ",").alias("spans"))
+
+
+BASE, TOP = "https://twitter.com/", ' target="_top"'
+
+
+def _link_sql(kind, value, rel=' rel="nofollow"'):
+    """The anchor of an entity, as SQL text."""
+    if kind == "URL":
+        return f"""'<a href="' || {value} || '"{rel}>' || {value} || '</a>'"""
+    if kind in "#$":
+        code, cls = ("%23", "hashtag") if kind == "#" else ("%24", "cashtag")
+        return f"""'<a href="{BASE}#!/search?q={code}' || {value} || '" title="{kind}' || {value} || '" class="tweet-url {cls}"{rel}>{kind}' || {value} || '</a>'"""
+    cls = "list-slug" if kind == "list" else "username"
+    return f"""'@<a class="tweet-url {cls}" href="{BASE}' || {value} || '"{rel}>' || {value} || '</a>'"""
+
+
+LINKS = _case(
+    f"'Mention ' || {_link_sql('@', 'u')} || ' and ' || {_link_sql('#', 'tag')} || ' plus ' || {_link_sql('#', repr('日本語'))} || ' ' || {_link_sql('URL', 'url')}",
+    f"'RT ' || {_link_sql('@', 'u')} || ': see www.example.com and ' || {_link_sql('$', repr('AB'))} || ' ' || {_link_sql('$', repr('brk.a'))}",
+    f"' ' || {_link_sql('@', 'u')} || ' hello ' || {_link_sql('list', '(other || ' + repr('/list') + ')')} || ' #1 ' || {_link_sql('#', 'a')} || ' &#no'",
+    "'no entities here &lt; ' || id",
+    f"{_link_sql('URL', 'short')} || '/more {AB} ' || {_link_sql('#', 'a')}",
+)
 
 
-@query("autolink", """select * from (values (4, 'no entities here &lt; 3'), (5, '<a href="https://t.co/abc123" rel="nofollow">https://t.co/abc123</a>/more <a href="https://twitter.com/#!/search?q=%23end" title="#end" class="tweet-url hashtag" rel="nofollow">#end</a>')) x(id, html)""")
+@query("autolink", f"with {PS} select id, {LINKS} html from ps")
 def autolink(spark, d):
-    return _posts(spark).filter("id > 3").select("id", entities.auto_link_udf()(F.col("text")).alias("html"))
+    return _posts(spark, d).select("id", entities.auto_link_udf()(F.col("text")).alias("html"))
 
 
-@query("highlight", "select 1 id, '<em>Mention</em> @user' html union all select 2, '<b>ab</b> <em>c</em>d'")
+USER_LINKS = _case(
+    f"'Mention ' || {_link_sql('@', 'u', '')} || ' and #' || tag || ' plus #日本語 ' || url",
+    f"'RT ' || {_link_sql('@', 'u', '')} || ': see www.example.com and $AB $brk.a'",
+    f"' ' || {_link_sql('@', 'u', '')} || ' hello ' || {_link_sql('list', '(other || ' + repr('/list') + ')', '')} || ' #1 #' || a || ' &#no'",
+    "t",
+    "t",
+)
+URL_LINKS = _case(f"'Mention @' || u || ' and #' || tag || ' plus #日本語 ' || {_link_sql('URL', 'url', TOP)}", "t", "t", "t", f"{_link_sql('URL', 'short', TOP)} || '/more {AB} #' || a")
+
+
+@query("autolink_kinds", f"with {PS} select id, {USER_LINKS} users, {URL_LINKS} urls from ps")
+def autolink_kinds(spark, d):
+    """Links of one kind only, with options: users and lists without rel, URLs with a target."""
+    users = entities.auto_link_udf(entities.LinkOptions(types=("MENTION",), no_follow=False))
+    urls = entities.auto_link_udf(entities.LinkOptions(types=("URL",), no_follow=False, url_target="_top"))
+    return _posts(spark, d).select("id", users(F.col("text")).alias("users"), urls(F.col("text")).alias("urls"))
+
+
+@query("highlight", f"with {PS} select id, '<em>' || t[1:4] || '</em>' || t[5:] html from ps")
 def highlight(spark, d):
-    rows = spark.createDataFrame([(1, "Mention @user", [[0, 7]]), (2, "<b>ab</b> cd", [[3, 4]])], "id int, text string, hits array<array<int>>")
-    return rows.select("id", entities.highlight_udf("text", "hits").alias("html"))
+    return _posts(spark, d).select("id", entities.highlight_udf("text", F.array(F.array(F.lit(0), F.lit(4)))).alias("html"))
 
 
-@query("tweet_length", "select * from (values (1, 55, true), (2, 54, true), (3, 36, true), (4, 20, true), (5, 33, true), (6, 140, true), (7, 141, false), (8, 0, false)) x(id, length, valid)")
+@query("tweet_length", f"with {PS}, n as (select id, len(t) + {_case('22 - len(url)', '7', '0', '0', '23 - len(short)')} n from ps) select id, n::INT length, n <= 140 valid from n")
 def tweet_length(spark, d):
-    more = spark.createDataFrame([(6, "a" * 140), (7, "a" * 141), (8, "")], "id int, text string")
-    return _posts(spark).unionByName(more).select("id", entities.post_length_udf("text").alias("length"), entities.is_valid_post_udf("text").alias("valid"))
+    return _posts(spark, d).select("id", entities.post_length_udf("text").alias("length"), entities.is_valid_post_udf("text").alias("valid"))
 
 
 # --- scalars
 
 
-@query("scalar_functions", "select '2013-02-28 10:00:00' parsed, null::VARCHAR bad_time, '2014-12-31' \"day\", '3 hour, 25 min, 45 sec' dur, true num1, true num2, false num3, true special, 'a,b' items, 2 n_list, md5('tag') digest")
+@query("scalar_functions", """with e as (select event_id, ts, user_id::VARCHAR u, epoch_us(ts) // 1000 % 86400000 // 1000 s, event_id / 7 x from events)
+select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') parsed, null::VARCHAR bad, strftime(ts, '%Y-%m-%d') "day", (s // 3600) || ' hour, ' || (s % 3600 // 60) || ' min, ' || (s % 60) || ' sec' dur, true num, false word, false special, true mark,
+  u || ',' || event_id items, 2 n_list, md5(u) digest, regexp_replace(printf('%.2f', x), '[.]?0+$', '') two from e where event_id % 100 <> 0 union all
+select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), null, strftime(ts, '%Y-%m-%d'), (s // 3600) || ' hour, ' || (s % 3600 // 60) || ' min, ' || (s % 60) || ' sec', true, false, false, true, u || ',' || event_id, 2, md5(u), regexp_replace(regexp_replace(printf('%.2f', x), '0+$', ''), '[.]$', '') from e where event_id % 100 = 0""")
 def scalar_functions(spark, d):
-    one = spark.createDataFrame([("Thu Feb 28 10:00:00 +0000 2013", "nonsense", "31/12/2014", 12345678, "12,5", "-7", "1.2.3", ":", " a ,, b", "x,y,")], "t string, b string, d string, ms long, n1 string, n2 string, n3 string, s string, i string, l string")
-    return one.select(
-        sc.format_time(sc.parse_created_at(F.col("t"))).alias("parsed"), sc.format_time(sc.parse_created_at(F.col("b"))).alias("bad_time"), F.date_format(sc.parse_day(F.col("d")), "yyyy-MM-dd").alias("day"), sc.duration(F.col("ms")).alias("dur"),
-        sc.is_numeric(F.col("n1")).alias("num1"), sc.is_numeric(F.col("n2")).alias("num2"), sc.is_numeric(F.col("n3")).alias("num3"), sc.is_special_char(F.col("s")).alias("special"), sc.join_items(sc.split_items(F.col("i"))).alias("items"), F.size(sc.split_list(F.col("l"))).alias("n_list"), F.md5(F.lit("tag")).alias("digest"),
+    e = _t(spark, d, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("u"))
+    return e.select(
+        "event_id", sc.format_time(sc.parse_created_at(F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy"))).alias("parsed"), sc.format_time(sc.parse_created_at(F.concat(F.lit("x"), "u"))).alias("bad"),
+        F.date_format(sc.parse_day(F.date_format("ts", "dd/MM/yyyy")), "yyyy-MM-dd").alias("day"), sc.duration(F.floor(sc.micros("ts") / 1000) % 86_400_000).alias("dur"), sc.is_numeric(F.col("u")).alias("num"), sc.is_numeric(F.concat("u", F.lit(".1.2"))).alias("word"),
+        sc.is_special_char(F.substring("u", 1, 1)).alias("special"), sc.is_special_char(F.lit(":")).alias("mark"), sc.join_items(sc.split_items(F.concat_ws(" ,, ", "u", "event_id"))).alias("items"),
+        F.size(sc.split_list(F.concat_ws(",", "u", "event_id", F.lit("")))).alias("n_list"), F.md5("u").alias("digest"), sc.two_digits(F.col("event_id") / 7).alias("two"),
     )
 
 
@@ -880,18 +951,6 @@ _texts("highlight_documents", lambda c: [entities.highlight_udf(F.col(c), F.tran
 _texts("tweet_length_documents", lambda c: [entities.post_length_udf(c).alias("length"), entities.is_valid_post_udf(c).alias("valid")])
 
 
-def scalar_functions_events(spark, d):
-    e = _t(spark, d, "events").select("event_id", "ts", F.col("user_id").cast("string").alias("u"))
-    return e.select(
-        "event_id", sc.format_time(sc.parse_created_at(F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy"))).alias("parsed"), F.date_format(sc.parse_day(F.date_format("ts", "dd/MM/yyyy")), "yyyy-MM-dd").alias("day"),
-        sc.duration(F.floor(sc.micros("ts") / 1000) % 86_400_000).alias("dur"), sc.is_numeric(F.col("u")).alias("num"), sc.is_special_char(F.substring("u", 1, 1)).alias("special"),
-        sc.join_items(sc.split_items(F.concat_ws(" ,, ", "u", "event_id"))).alias("items"), F.size(sc.split_list(F.concat_ws(",", "u", "event_id"))).alias("n_list"), F.md5("u").alias("digest"),
-    )
-
-
-QUERIES["scalar_functions_events"] = scalar_functions_events
-
-
 # --- models
 
 
@@ -903,16 +962,30 @@ def knn_exact(spark, d):
     return _r(nearest_neighbours(rows.filter("id % 10 <> 0"), rows.filter("id % 10 = 0"), 5), "score")
 
 
-def _vectors(spark, d):
+N_FEATURES = 100
+# the vectors as rows: fx (feature, idx), hit (id, idx) of the ones, lbl (id, y); every fifth document is for testing
+VECTORS = f"""{MI}, fx as (select feature, row_number() over (order by m desc, feature) - 1 idx from (select feature, round(max(mi), 12) m from mi group by 1) order by m desc, feature limit {N_FEATURES}),
+hit as (select "row" id, idx from wf join fx using (feature)), lbl as (select "row" id, "label" y from lb), size as (select y, count(*)::DOUBLE n from lbl where id % 5 <> 0 group by y),
+mean as (select y, idx, count(h.idx) / any_value(n) m from (select id, y, n, idx from lbl join size using (y), fx where id % 5 <> 0) x left join hit h using (id, idx) group by y, idx), ask as (select id, y from lbl where id % 5 = 0)"""
+
+
+def _vectors(spark, d, n=N_FEATURES):
     """Documents as vectors of their most informative words, (train, test)."""
     from tagtide.operators import ranking_models as rm
 
-    ranking = _mi(spark, d).groupBy(F.col("feature").alias("feature_id")).agg(F.max("mi").alias("mi"))
+    ranking = _mi(spark, d).groupBy(F.col("feature").alias("feature_id")).agg(F.round(F.max("mi"), 12).alias("mi"))
     words = _word_features(spark, d).select(F.col("row").alias("id"), F.col("feature").alias("feature_id"), F.lit(1.0).alias("value"))
-    chosen = rm.select_features(words, ranking, 100)
+    chosen = rm.select_features(words, ranking, n)
     rows = _row_labels(spark, d).withColumnRenamed("row", "id")
-    v = rm.to_vectors(rows, chosen.select("id", "idx", "value"), 100)
-    return v.filter("id % 5 <> 0").cache(), v.filter("id % 5 = 0").cache()
+    v = kept(rm.to_vectors(rows, chosen.select("id", "idx", "value"), n))
+    return v.filter("id % 5 <> 0"), v.filter("id % 5 = 0")
+
+
+def _scaled(train, test):
+    from tagtide.operators import ranking_models as rm
+
+    s = rm.scaler(train)
+    return rm.scale(s, train), rm.scale(s, test)
 
 
 def _model(name, **options):
@@ -921,8 +994,7 @@ def _model(name, **options):
 
         train, test = _vectors(spark, d)
         if name in ("logistic_regression", "linear_svm", "random_forest"):
-            s = rm.scaler(train)
-            train, test = rm.scale(s, train), rm.scale(s, test)
+            train, test = _scaled(train, test)
         return getattr(rm, name)(train, test, **options)
 
     return run
@@ -930,32 +1002,89 @@ def _model(name, **options):
 
 QUERIES["lr_rank"] = _model("logistic_regression", iterations=20)
 QUERIES["svm_rank"] = _model("linear_svm", iterations=20)
-QUERIES["nb_rank"] = _model("naive_bayes", kind="gaussian")
 QUERIES["rf_rank"] = _model("random_forest", trees=20)
-QUERIES["rocchio_rank"] = _model("rocchio")
 
 
-def _evaluated(spark, d, slices: int | None = None):
-    """Train, tune C on a fixed validation set by AP@1000, and score the test set."""
+@query("rocchio_rank", f"""with {VECTORS}, len as (select y, sqrt(sum(m * m)) l from mean group by y), own as (select id, sqrt(count(*)) k from hit group by id)
+select ask.id, ask.y::DOUBLE "label", round(coalesce(sum(case mean.y when 1 then m else -m end / l / k), 0), 9) score from ask left join own using (id) left join hit using (id) left join mean using (idx) left join len on len.y = mean.y group by ask.id, ask.y""")
+def rocchio_rank(spark, d):
+    return _r(_model("rocchio")(spark, d), "score")
+
+
+@query("nb_rank", f"""with {VECTORS}, total as (select sum(n) t from size), eps as (select max(q / t - s * s / t / t) * 1e-9 e from (select idx, sum(m * n) q, sum(m * n) s from mean join size using (y) group by idx), total),
+var as (select y, idx, m, m - m * m + e v from mean, eps), joint as (select v.id, v.y, ln(any_value(n)) - ln(any_value(t)) - sum((case when h.idx is null then 0 else 1 end - m) ** 2 / (2 * v.v) + ln(v.v) / 2) j from (select ask.id, var.* from ask, var) v left join hit h on h.id = v.id and h.idx = v.idx join size on size.y = v.y cross join total group by v.id, v.y),
+best as (select id, max(j) b from joint group by id) select id, ask.y::DOUBLE "label", round(sum(case joint.y when 1 then exp(j - b) else 0 end) / sum(exp(j - b)), 6) score from ask join joint using (id) join best using (id) group by id, ask.y""")
+def nb_rank(spark, d):
+    return _r(_model("naive_bayes", kind="gaussian")(spark, d), "score", digits=6)
+
+
+def _quality(name, **options):
+    """Rows, positives, and whether the model ranks better than chance would: its average precision is above the share of positives."""
+
+    def run(spark, d):
+        scores = kept(_model(name, **options)(spark, d).withColumn("label", F.col("label").cast("int")).withColumn("g", F.lit(1)))
+        base = scores.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"))
+        ap = metrics.average_precision_at(scores, ["g"])
+        return base.join(ap, "g").select("n", "positives", (F.col("ap") > 1.5 * F.col("positives") / F.col("n")).alias("better"))
+
+    return run
+
+
+BETTER = f"with {DOCS} select count(*) n, sum(toxic)::BIGINT positives, true better from docs where doc_id % 5 = 0"
+query("lr_quality", BETTER)(_quality("logistic_regression", iterations=20))
+query("svm_quality", BETTER)(_quality("linear_svm", iterations=20, probabilities=True))
+query("rf_quality", BETTER)(_quality("random_forest", trees=20))
+
+
+def _tuned(spark, d, grid, sizes=None):
+    """(ap, model, features, value) of every point of a grid on a fixed validation set, best first, and the test scores of the best."""
     from tagtide.operators import ranking_models as rm
 
-    train, test = _vectors(spark, d)
-    scaler = rm.scaler(train)
-    train, test = rm.scale(scaler, train), rm.scale(scaler, test)
-    val, fit = train.filter("id % 5 = 1"), train.filter("id % 5 <> 1")
-    results, best = rm.tune((0.1, 10.0), lambda c: rm.logistic_regression(fit, val, c, 10))
-    return results, rm.logistic_regression(train, test, best, 20)
+    known = _mi(spark, d).select("feature").distinct().count()
+    sets = {}
+
+    def sets_of(n):
+        if n not in sets:
+            train, test = _vectors(spark, d, n)
+            plain = (train.filter("id % 5 <> 1"), train.filter("id % 5 = 1"), train, test)
+            scaler = rm.scaler(train)
+            sets[n] = plain, tuple(kept(rm.scale(scaler, x)) for x in plain)
+        return sets[n]
+
+    def scores(point, fit, ask):
+        model, n, value = point
+        if model == "nearest_neighbours":
+            rows = lambda df: df.select("id", "label", vector_to_array("features").alias("v"))
+            return rm.nearest_neighbours(rows(fit), rows(ask), int(value))
+        if model == "naive_bayes":
+            return rm.naive_bayes(fit, ask, "multinomial", value)
+        if model == "random_forest":
+            return rm.random_forest(fit, ask, int(value))
+        return getattr(rm, model)(fit, ask, value, 10)
+
+    def parts(point):
+        plain, scaled = sets_of(point[1])
+        return plain if point[0] == "naive_bayes" else scaled
+
+    points = [p for p in grid.settings(known) if sizes is None or p[1] in sizes]
+    results, best = rm.tune(points, lambda p: scores(p, parts(p)[0], parts(p)[1]))
+    return results, scores(best, parts(best)[2], parts(best)[3])
 
 
 def grid_search(spark, d):
-    results, _ = _evaluated(spark, d)
-    return spark.createDataFrame([(i, float(c), float(ap)) for i, (ap, c) in enumerate(results, 1)], "rank int, c double, ap double")
+    """Every model and value of the grid at its first number of features, 100."""
+    from tagtide.operators.ranking_models import Grid
+
+    results, _ = _tuned(spark, d, Grid(), {N_FEATURES})
+    return spark.createDataFrame([(i, m, n, v, float(ap)) for i, (ap, (m, n, v)) in enumerate(results, 1)], "rank int, model string, features int, value double, ap double")
 
 
 def ranking_pipeline(spark, d):
-    """P@10, P@100, P@1000 and AP@1000 of the tuned model, overall and per time slice (a quarter of the ids each)."""
-    _, scores = _evaluated(spark, d)
-    sliced = scores.withColumn("slice", F.explode(F.array(F.lit(-1).cast("long"), F.col("id") % 4)))
+    """P@10, P@100, P@1000 and AP@1000 of logistic regression tuned over three values of C and all numbers of features, overall and per time slice (a quarter of the ids each)."""
+    from tagtide.operators.ranking_models import Grid
+
+    _, scores = _tuned(spark, d, Grid(trees=(), neighbours=(), alpha=(), c=Grid().c[9:15:2]), None)
+    sliced = kept(scores).withColumn("slice", F.explode(F.array(F.lit(-1).cast("long"), F.col("id") % 4)))
     return metrics.precision_at(sliced, ["slice"]).join(metrics.average_precision_at(sliced, ["slice"]), "slice")
 
 
@@ -963,6 +1092,7 @@ QUERIES["grid_search"] = grid_search
 QUERIES["ranking_pipeline"] = ranking_pipeline
 
 
+@query("learner_rows", f"""with {VECTORS} select any_value(y) || ' ' || coalesce(string_agg((idx + 1) || ':1', ' ' order by idx), '') "value" from ask left join hit using (id) group by id""")
 def learner_rows(spark, d):
     """The test vectors as the text that linear and kernel learners read."""
     from tagtide.operators.ranking_models import libsvm_rows
@@ -970,7 +1100,12 @@ def learner_rows(spark, d):
     return libsvm_rows(_vectors(spark, d)[1])
 
 
-QUERIES["learner_rows"] = learner_rows
+@query("instance_rows", f"""with {VECTORS} select '{{' || coalesce(string_agg(idx || ' 1', ',' order by idx) || ',', '') || '{N_FEATURES} ' || any_value(y) || '}}' "value" from ask left join hit using (id) group by id""")
+def instance_rows(spark, d):
+    """The test vectors as sparse instances, the class last."""
+    from tagtide.operators.ranking_models import arff_rows
+
+    return arff_rows(_vectors(spark, d)[1], N_FEATURES)
 
 
 @query("hashtag_birthday_stream", SQL["hashtag_birthday"])
@@ -984,3 +1119,6 @@ def hashtag_birthday_stream(spark, d):
     folder = work_folder(spark, "birthdays")
     start(live_birthdays(tables.event_uses(events)), folder, stream_checkpoint(spark)).awaitTermination()
     return latest(spark, folder, "h string, birthday long, nbr_tweets long", ["h"])
+
+
+from tagtide.plans import formats  # noqa: E402, F401

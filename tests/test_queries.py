@@ -30,14 +30,11 @@ def test_whole_feature_lists(spark):
     assert cells("mi_matrix_whole") != cells("mi_matrix") and cells("mi_matrix_whole").keys() == cells("mi_matrix").keys()
 
 
-@pytest.mark.parametrize("name", "hashtag_extract mention_extract reply_extract cashtag_extract url_extract entity_spans autolink highlight tweet_length scalar_functions".split())
+@pytest.mark.parametrize("name", "hashtag_extract mention_extract reply_extract cashtag_extract url_extract entity_spans autolink highlight tweet_length".split())
 def test_text_functions_read_whole_tables(spark, duck, name):
-    name, table = (name + "_events", "events") if name == "scalar_functions" else (name + "_documents", "documents")
+    name, table = name + "_documents", "documents"
     rows = catalogue.QUERIES[name](spark, SMALL).collect()
     assert len(rows) == duck.execute(f"select count(*) from {table}").fetchone()[0]
     if name == "url_extract_documents":
         texts = dict(duck.execute("select doc_id, text from documents").fetchall())
         assert all(r["urls"] == ",".join(s.value for s in entities.scan(texts[r["id"]], ("URL",))) for r in rows)
-    if name == "scalar_functions_events":
-        times = dict(duck.execute("select event_id, strftime(ts, '%Y-%m-%d') from events").fetchall())
-        assert all(r["day"] == times[r["event_id"]] and r["parsed"].startswith(r["day"]) for r in rows)
