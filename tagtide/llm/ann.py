@@ -37,7 +37,7 @@ TILE, ROWS = 4096, 1024
 #: Dimensions whose int8 products float32 sums up exactly: 1,024 * 127 ** 2 < 2 ** 24.
 SLICE = 1024
 #: Survivors a query may have in a cell, in multiples of k, before the cell is worked on with original vectors.
-MOST = 50
+MOST = 4
 _CODED = pa.schema([("id", pa.int64()), ("d", pa.int32()), ("row", pa.int64()), ("same", pa.int64()), ("codes", pa.binary()), ("scale", pa.float64()), ("norm", pa.float64()), ("err", pa.float64())])
 _PAIRS = "block long, query long, cand long, low double, high double"
 _FOUND = pa.schema([("block", pa.int64()), ("query", pa.int64()), ("cand", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
@@ -199,7 +199,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, query_block: int = 16_384
     estimated from the number of survivors.
     """
     spark = vectors.sparkSession
-    v = F.col("embedding").cast("array<double>")
+    # floats stay floats on the way, as they are exact
+    element = vectors.schema["embedding"].dataType.elementType.typeName()
+    v = F.col("embedding") if element == "float" else F.col("embedding").cast("array<double>")
     clean = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null and size(v) > 0")
     clean = clean.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     # a row is named by its id and vector; equal rows are one
@@ -228,7 +230,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, query_block: int = 16_384
     wanted = cut(pairs.groupBy("block", "cand").agg(F.collect_list("query").alias("queries")))
     n = wanted.groupBy("block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     parts = max(1, -(-n * 8 * (counts["d"] or 1) // part_bytes), -(-partitions(spark) // blocks))
-    vectors_of = clean.dropDuplicates(["id", "row"])
+    vectors_of = clean if clean.count() == counts["n"] else clean.dropDuplicates(["id", "row"])
     own = vectors_of.filter(is_query(F.col("id"))).select("id", "d", "row", "v", block.alias("block"))
     fetched = wanted.join(vectors_of.withColumnRenamed("row", "cand"), "cand").withColumn("part", F.pmod(F.xxhash64("cand"), F.lit(parts)).cast("int"))
     cell = ["d", "block", "part"]
