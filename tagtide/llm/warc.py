@@ -31,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 #: Compressed bytes after which a file ends.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 8 << 20
 CRLF = "\r\n"
 _RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_length", pa.int64()), ("payload", pa.string())])
 
