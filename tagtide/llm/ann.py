@@ -184,7 +184,7 @@ def _recheck(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, query_block: int = 16_384, group_rows: int = 131_072, part_bytes: int = 128 << 20, most: int = MOST) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, query_block: int = 16_384, group_rows: int = 131_072, part_bytes: int = 128 << 20, most: int = MOST, least_rows: int = TILE) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score): the k largest inner products of each query.
 
     `is_query` is a condition on vec_id; candidates are all rows but the query's own vec_id. Scores are
@@ -209,7 +209,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, query_block: int = 16_384
     coded = cut(clean.withColumn("same", F.xxhash64("v")).mapInArrow(_quantised, "id long, d int, row long, same long, codes binary, scale double, norm double, err double").dropDuplicates(["id", "row"]))
     counts = coded.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query(F.col("id")), 1)).alias("q"), F.max("d").alias("d")).first()
     blocks = max(1, -(-counts["q"] // query_block))
-    groups = max(1, -(-max(partitions(spark), -(-counts["n"] // group_rows)) // blocks))
+    # enough groups for all tasks, but none below a tile: each group gives k pairs a query at least
+    groups = max(1, min(-(-max(partitions(spark), -(-counts["n"] // group_rows)) // blocks), -(-counts["n"] // least_rows)))
     block = F.pmod(F.xxhash64(F.lit(1), "row"), F.lit(blocks))
     group = F.pmod(F.xxhash64(F.lit(2), "row"), F.lit(groups)).cast("int")
     thin = coded.mapInArrow(_thinned(k + 1), coded.schema).repartition("same", F.pmod("id", F.lit(16))).mapInArrow(_thinned(k + 1), coded.schema)

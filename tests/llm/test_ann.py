@@ -27,10 +27,10 @@ def test_against_brute_force(spark):
     rows += [(1000 + i, rows[7][1]) for i in range(40)] + [rows[0], rows[11]]
     rows += [(2000, None), (2020, [0.0] * 12), (2040, [float("nan")] + [1.0] * 11), (2060, [None] + [1.0] * 11), (2080, [float("inf")] + [1.0] * 11), (None, rows[1][1]), (2100, [1.0, 2.0]), (2101, [0.5, -1.0]), (2120, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, id string")
-    got = nearest(df, lambda c: c % 20 == 0, k=20, query_block=7, group_rows=50).collect()
+    got = nearest(df, lambda c: c % 20 == 0, k=20, query_block=7, group_rows=50, least_rows=10).collect()
     assert {tuple(r) for r in got} == brute(rows, 20, 20)
     # cells with too many survivors are worked on with original vectors, with the same lists
-    assert {tuple(r) for r in nearest(df, lambda c: c % 20 == 0, k=20, query_block=7, group_rows=50, most=1).collect()} == brute(rows, 20, 20)
+    assert {tuple(r) for r in nearest(df, lambda c: c % 20 == 0, k=20, query_block=7, group_rows=50, least_rows=10, most=1).collect()} == brute(rows, 20, 20)
 
 
 def test_few_candidates_and_empty(spark):
