@@ -11,15 +11,16 @@ from ..conftest import SMALL
 from .test_decontaminate import sh
 from .test_mixing import wanted
 from .test_ngram_join import brute
-from .test_quality import brute_model, codes
+from .test_lines import plain
+from .test_quality import brute_model, codes, is_held_out
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def plain_quality(docs, trusted):
+def plain_quality(docs, trusted, held):
     import math
 
-    p = brute_model([d["text"] for d in docs if d["doc_id"] in trusted])
+    p = brute_model([d["text"] for d in docs if d["doc_id"] in trusted and d["doc_id"] not in held])
     memo: dict = {}
 
     def log(g):
@@ -30,7 +31,7 @@ def plain_quality(docs, trusted):
     for d in docs:
         c = codes(d["text"])
         d["sum"] = sum(log(tuple(c[i - 3 : i + 1])) for i in range(3, len(c)))
-    good = [d for d in docs if d["doc_id"] in trusted]
+    good = [d for d in docs if d["doc_id"] in trusted and d["doc_id"] in held]
     langs = {l: [d for d in good if d["lang"] == l] for l in {d["lang"] for d in docs}}
     mean = lambda ds: sum(d["sum"] for d in ds) / sum(len(d["text"]) for d in ds)
     for d in docs:
@@ -41,21 +42,9 @@ def plain_quality(docs, trusted):
 
 
 def plain_lines(docs):
-    runs = {}
+    kept = plain([(d["doc_id"], d["text"]) for d in docs])
     for d in docs:
-        ls = d["text"].split("\n")
-        for k in range(4):
-            for i in range(len(ls) - 2**k + 1):
-                g = tuple(ls[i : i + 2**k])
-                if sum(map(len, g)) >= 40:
-                    runs.setdefault(g, (d["doc_id"], i))
-    for d in docs:
-        ls, gone = d["text"].split("\n"), set()
-        for k in range(4):
-            for i in range(len(ls) - 2**k + 1):
-                if runs.get(tuple(ls[i : i + 2**k]), (d["doc_id"], i)) < (d["doc_id"], i):
-                    gone |= set(range(i, i + 2**k))
-        d["text"] = "\n".join(x for i, x in enumerate(ls) if i not in gone)
+        d["text"] = kept[d["doc_id"]]
     return docs
 
 
@@ -64,10 +53,10 @@ def result(spark):
     return cp.run(spark, SMALL).collect()
 
 
-def test_run_against_plain_python(result):
+def test_run_against_plain_python(spark, result):
     docs = sorted(pq.read_table(f"{SMALL}/documents.parquet").to_pylist(), key=lambda d: d["doc_id"])
     trusted = {r["doc_id"] for r in pq.read_table(f"{SMALL}/labels.parquet").to_pylist() if r["quality"] == 1}
-    docs = plain_lines(plain_quality(docs, trusted))
+    docs = plain_lines(plain_quality(docs, trusted, is_held_out(spark, [d["doc_id"] for d in docs])))
     heads = brute([(d["doc_id"], d["text"]) for d in docs])
     docs = [d for d in docs if heads[d["doc_id"]][1] == d["doc_id"]]
     items = [sh(r["text"]) for r in pq.read_table(f"{SMALL}/benchmark.parquet").to_pylist()]
