@@ -21,7 +21,8 @@ def _mark(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs: (u, v). Large: link every greater neighbour of u to u's least one; small: link u's lesser ones and u."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(reshuffled(least, "u"), "u")
+    # merged, not broadcast: a broadcast for each step of each round would pile up in the driver
+    joined = pairs.join(reshuffled(least, "u").hint("merge"), "u")
     if large:
         out = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

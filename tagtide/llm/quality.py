@@ -176,8 +176,9 @@ def log_probabilities(docs: DataFrame, trusted_ids: DataFrame, max_broadcast: in
     wanted = docs.select("text").mapInArrow(_distinct, "g long").distinct()
     table = cut(probabilities_of(wanted, seen, weights, new))
     if table.count() * 16 <= max_broadcast:
-        rows = table.toPandas().sort_values("g")
-        shared = spark.sparkContext.broadcast((rows["g"].to_numpy(np.int64), rows["lp"].to_numpy(float)))
+        rows = table.toArrow().sort_by("g")
+        shared = spark.sparkContext.broadcast((rows.column("g").to_numpy(), rows.column("lp").to_numpy()))
+        del rows
         scored = docs.mapInArrow(_score(shared), "doc_id long, lang string, n long, total double")
     else:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
