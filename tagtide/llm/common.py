@@ -50,9 +50,10 @@ def reshuffled(df: DataFrame, key: str) -> DataFrame:
     """`df` with a long key that Spark doesn't know to be partitioned by.
 
     A join of a table with an aggregate of itself would reuse the aggregate's partitioning, and AQE can't split
-    a hot key there. With an exchange of its own for the small side, it can.
+    a hot key there. With an exchange of its own for the small side, it can. Joins are merged, not broadcast:
+    tables that grow with the data don't pass through the driver.
     """
-    return df.withColumn(key, F.shiftright(key, 0))
+    return df.withColumn(key, F.shiftright(key, 0)).hint("merge")
 
 
 def words(text: Column) -> Column:

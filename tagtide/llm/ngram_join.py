@@ -262,7 +262,7 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """Pairs whose summed partial overlaps reach the similarity."""
     x = segments.select(F.col("key").alias("a"), "seg", F.col("blob").alias("x"))
     y = segments.select(F.col("key").alias("b"), "seg", F.col("blob").alias("y"))
-    parts = pairs.join(x, "a").join(y, ["b", "seg"]).select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na int, nb int, part long")
+    parts = pairs.hint("merge").join(x, "a").hint("merge").join(y, ["b", "seg"]).select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na int, nb int, part long")
     return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).filter(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
 
 
@@ -282,7 +282,7 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
     reach = f"least(100 * n div {percent}, {100 + percent} * s div {percent} - n)"
     left = posts.withColumn("reach", F.expr(reach)).filter("reach >= n").selectExpr("tok", f"explode(sequence({bucket('n')}, {bucket('reach')})) g", "key a", "n na", "s sa", "pos pa", "comp ca")
     right = posts.filter(f"100 * s >= {percent} * n").selectExpr("tok", f"{bucket('n')} g", "key b", "n nb", "s sb", "pos pb", "comp cb")
-    met = left.join(right, ["tok", "g"]).filter("ca <> cb and (na < nb or na = nb and a < b)").filter(_near(percent))
+    met = left.join(right.hint("merge"), ["tok", "g"]).filter("ca <> cb and (na < nb or na = nb and a < b)").filter(_near(percent))
     met = met.selectExpr("least(struct(a, na), struct(b as a, nb as na)) p", "greatest(struct(a, na), struct(b as a, nb as na)) q")
     return met.selectExpr("p.a a", "q.a b", "p.na na", "q.na nb")
 
@@ -329,20 +329,20 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     twins = meta.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("doc_id", "a")
     links = links.unionByName(cut(meta.filter("n_shingles > 0").join(reshuffled(twins, "doc_id"), "doc_id").select("a", F.col("key").alias("b")).distinct()))
     joined = components(links)
-    label = posts.select("key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"))
-    named = posts.join(label, "key")
+    label = posts.select("key").distinct().join(joined.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"))
+    named = posts.join(label.hint("merge"), "key")
     mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
     rest = cut(named.join(reshuffled(mixed, "tok"), "tok", "left_semi"))
     met = _across(rest, percent)
-    second = met.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
+    second = met.distinct().join(first.select("a", "b").hint("merge"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
     links = links.unionByName(cut(_links(second, segments, percent)))
     final = components(links).withColumnRenamed("node", "key")
     classes = meta.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(final, "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("component"))
+    classes = classes.join(final.hint("merge"), "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("component"))
     heads = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(heads, "component").select("key", "class_id", "component_id")
+    classes = classes.join(heads.hint("merge"), "component").select("key", "class_id", "component_id")
     alone = meta.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return meta.filter("n_shingles > 0").join(classes, "key").select("doc_id", "n_shingles", "class_id", "component_id").unionByName(alone)
+    return meta.filter("n_shingles > 0").join(classes.hint("merge"), "key").select("doc_id", "n_shingles", "class_id", "component_id").unionByName(alone)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
