@@ -6,6 +6,7 @@ returns. All stages but the last return the columns of documents; the last adds
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; documents stay, with n_chars of what is left."""
-    return dedup_lines(docs).drop("n_lines", "n_removed")
+    counts = [c for c in ("n_lines", "n_removed") if c not in docs.columns]
+    own = docs.withColumnsRenamed({c: f"_own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns})
+    return dedup_lines(own).drop("n_lines", "n_removed").withColumnsRenamed({f"_own_{c}": c for c in ("n_lines", "n_removed") if c not in counts}).select(docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,6 +67,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
+        # what the last stage's plans left in the driver goes before the next one's come
+        gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
