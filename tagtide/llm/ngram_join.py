@@ -338,11 +338,12 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     links = links.unionByName(cut(_links(second, segments, percent)))
     final = components(links).withColumnRenamed("node", "key")
     classes = meta.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(final, "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("component"))
+    # tables of classes grow with the data: they are merged, not broadcast through the driver
+    classes = classes.join(final.hint("merge"), "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("component"))
     heads = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(heads, "component").select("key", "class_id", "component_id")
+    classes = classes.join(heads.hint("merge"), "component").select("key", "class_id", "component_id")
     alone = meta.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return meta.filter("n_shingles > 0").join(classes, "key").select("doc_id", "n_shingles", "class_id", "component_id").unionByName(alone)
+    return meta.filter("n_shingles > 0").join(classes.hint("merge"), "key").select("doc_id", "n_shingles", "class_id", "component_id").unionByName(alone)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
