@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect what finished plans have left in the driver: an operator of many jobs fills its heap before it is collected by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def small(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
     """`df`, hinted for broadcast only when its rows hold at most `max_bytes`: 8 for a number or flag, a string's or array's length as JSON.
 

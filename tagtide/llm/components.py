@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagtide.llm.common import cut, reshuffled
+from tagtide.llm.common import cut, reshuffled, tidy
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -50,4 +50,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    tidy(edges.sparkSession)
     return now.selectExpr("a node", "b component").unionByName(now.selectExpr("b node", "b component")).distinct()
