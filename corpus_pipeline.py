@@ -6,13 +6,12 @@ returns. All stages but the last return the columns of documents; the last adds
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagtide.llm.common import shared_folder, table
+from tagtide.llm.common import cut, shared_folder, table, tidy
 from tagtide.llm.decontaminate import contamination
 from tagtide.llm.lines import dedup_lines
 from tagtide.llm.mixing import mix_sources
@@ -36,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents, the one with the smallest doc_id stays."""
-    keep = ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    keep = cut(ngram_components(docs).filter("doc_id = component_id").select("doc_id").distinct())
+    tidy(spark)
     return docs.join(keep, "doc_id", "left_semi")
 
 
@@ -68,8 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         # what the last stage's plans left in the driver goes before the next one's come
-        gc.collect()
-        spark.sparkContext._jvm.java.lang.System.gc()
+        tidy(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
     return docs
