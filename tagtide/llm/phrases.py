@@ -7,20 +7,23 @@ doc_id. The search for repeated windows goes by short phrases that every window
    so equal windows have equal anchors wherever they stand; about one phrase in (width - k) / 2 is chosen.
    Anchors that occur in two documents at least are the recurring phrases; each is taken from the first
    document that has it.
-2. Automata. The phrases are dealt to shards of `per_automaton`, and each shard is compiled into an
-   Aho-Corasick automaton. A word is two characters in it, 9 bits of its hash each, from two alphabets, so
-   that nodes have few branches and no match begins inside a word. The first `HEAD` words of a phrase are its
-   pattern, which halves the automata; phrases with one beginning share it.
-3. Occurrences. All documents stream through all automata: a task puts `STREAM` bytes of text after one
-   another and runs each automaton over them. Hits are every occurrence of the phrases. Windows whose
-   anchor was hit are fingerprinted (64-bit rolling hash), which also drops false hits. Inside a stream, only a
-   fingerprint's first document is passed on, later ones are repeats already; between streams, a running
-   minimum over the sorted fingerprints tells first documents from later ones, so that a passage that is
-   everywhere has one row per `STREAM` bytes of text there.
+2. Automata. The first `HEAD` words of a phrase are its pattern; phrases with one beginning share it. The
+   patterns are dealt to shards of about `per_automaton` by the least hash of the word pairs in them, and each
+   shard is compiled into an Aho-Corasick automaton. A word is two characters in it, 7 bits of its hash each,
+   from two alphabets, so that nodes have few branches and no match begins inside a word.
+3. Occurrences. All documents stream through the automata, every word of them: a task gathers `STREAM` bytes
+   of text and parts them into runs of words whose beginnings of `HEAD` words are dealt to one shard, by the
+   same least hash. A shard's automaton runs over its runs only. Runs overlap by `HEAD` - 1 words, so no
+   beginning is lost, and all runs together are about 2.5 times the text, however many automata there are. Hits are
+   every occurrence of the phrases. Windows whose anchor was hit are fingerprinted (64-bit rolling hash), which
+   also drops false hits. Inside `BLOCK` bytes of text, only a fingerprint's first document is passed on, later ones
+   are repeats already; between blocks, a running minimum over the sorted fingerprints tells first documents
+   from later ones, so that a passage that is everywhere has one row per `BLOCK` bytes of text there.
 4. Removal. Each document is joined to its repeated windows and loses the words they cover.
 
-The driver holds the phrases of one pass, at most `per_pass`; more of them are that many passes over the
-documents more, so the work grows with the text times the number of recurring phrases in millions.
+The driver holds the phrases of one pass, about `per_pass`, at 8 bytes each; more of them are more passes over the
+documents, each through its own shards. What still grows with the text times the number of phrases is
+compiling, once per `STREAM` bytes (twice that beyond `per_pass` / 4 phrases), and hashing the words once per pass.
 
 A fingerprint collision could remove a window wrongly, with a chance of about n^2 / 2^65 for n windows
 that share anchors.
@@ -39,10 +42,10 @@ from pyspark.sql import functions as F
 from tagtide.llm import tokens as tk
 from tagtide.llm.common import cut, small
 
-#: Bytes of text that are run through the automata at a time.
-STREAM = 8 << 20
-#: Bits of a word's hash in each of its two characters, and where their alphabets begin. A blank pair parts documents.
-BITS, ALPHABETS, PART = 9, (0x100, 0x1100), 1
+#: Bytes of text that are run through the automata at a time, and among which windows are compared at once.
+STREAM, BLOCK = 16 << 20, 8 << 20
+#: Bits of a word's hash in each of its two characters, and where their alphabets begin: phrases are a byte a character. A blank pair parts runs.
+BITS, ALPHABETS, PART = 7, (0x00, 0x80), 0x100
 #: Words of a phrase that are its pattern.
 HEAD = 4
 _REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
@@ -78,23 +81,17 @@ def _anchors(width: int, k: int):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             buf, off = tk.raw(batch.column("text"))
-            for i, j in tk.pieces(off):
+            for i, j in tk.pieces(off, tk.CHUNK // 4):
                 h, at = tk.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 grams = tk.gram_hashes(h, k)
-                rows = [(ids[i + d], np.unique(own[anchors(own, width - k + 1)[1]]).tobytes()) for d in range(j - i) if at[d + 1] - at[d] >= width for own in (grams[at[d] : at[d + 1] - k + 1],)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "grams"])
+                docs = [d for d in range(j - i) if at[d + 1] - at[d] >= width]
+                cells = [np.unique(own[anchors(own, width - k + 1)[1]]).view(np.int64) for d in docs for own in (grams[at[d] : at[d + 1] - k + 1],)]
+                if docs:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.repeat(ids[i:j][docs], [len(c) for c in cells]))], names=["gram", "doc_id"])
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cells = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
-        if cells:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.repeat(batch.column("doc_id").to_numpy(), [len(c) for c in cells]))], names=["gram", "doc_id"])
-
-
 def coded(h: np.ndarray) -> np.ndarray:
     """Word hashes -> two characters a word."""
     out = np.empty((len(h), 2), "<u2")
@@ -104,8 +101,18 @@ def coded(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def dealt(h: np.ndarray, head: int) -> np.ndarray:
+    """For each run of `head` words what it is dealt by, below 2**32: the least hash of the word pairs in it, which neighbours often share."""
+    pairs = tk.gram_hashes(h, min(head, 2))
+    n = max(len(h) - head + 1, 0)
+    least = pairs[:n]
+    for j in range(1, head - 1):
+        least = np.minimum(least, pairs[j : j + n])
+    return tk.mix(least ^ tk.STEP) >> tk.U(32)  # least hashes crowd at the low end
+
+
 def _phrases(k: int, head: int):
-    """(text, grams) of the documents that first have them -> (gram, phrase): the phrase's first `head` words, coded."""
+    """(text, grams) of the documents that first have them -> (gram, phrase, deal): the phrase's first `head` words, coded, and what they are dealt by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +120,7 @@ def _phrases(k: int, head: int):
             lists = batch.column("grams")
             for i, j in tk.pieces(off):
                 h, at = tk.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                grams = tk.gram_hashes(h, k)
+                grams, deal = tk.gram_hashes(h, k), dealt(h, head)
                 for d in range(j - i):
                     if at[d + 1] - at[d] < k:
                         continue
@@ -124,7 +131,7 @@ def _phrases(k: int, head: int):
                     spots = at[d] + where[p[there]]
                     text = coded(h[(spots[:, None] + np.arange(head)).ravel()]).tobytes().decode("utf-16-le")
                     names = wanted[there].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([text[x : x + 2 * head] for x in range(0, len(text), 2 * head)], pa.string())], names=["gram", "phrase"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([text[x : x + 2 * head] for x in range(0, len(text), 2 * head)], pa.string()), pa.array(deal[spots].view(np.int64))], names=["gram", "phrase", "deal"])
 
     return run
 
@@ -137,27 +144,71 @@ def _compiled(phrases: str, head: int) -> ahocorasick.Automaton:
     return automaton
 
 
-def _locate(width: int, k: int, shared, stream: int, head: int):
-    """(doc_id, text) -> per document with hits: its windows to confirm, and those that repeat inside the stream."""
-
-    def search(docs):
-        """docs: (doc_id, word hashes). Word positions are counted through all of them, with one between any two."""
-        at = np.cumsum([0] + [len(h) + 1 for _, h in docs])
-        chars = np.full((at[-1], 2), PART, "<u2")
-        for (_, h), a in zip(docs, at):
-            chars[a : a + len(h)] = coded(h)
-        text = chars.tobytes().decode("utf-16-le")
-        del chars
-        hit = np.zeros(at[-1], bool)
-        for phrases in shared.value:
-            automaton = _compiled(phrases, head)
-            ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-            del automaton  # before the next one is built
-            hit[(ends + 1) // 2 - head] = True
-        del text
+def _runs(pieces, width: int, head: int, of: int, first: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of words for the shards first, first + 1, ... of all `of`: sorted (shard from 0) << 32 | first word, and the number of words by first word.
+
+    pieces: (doc ids, word hashes, where documents begin). Documents shorter than `width` have no windows and no runs.
+    """
+    out, base, size = [], 0, np.zeros(sum(len(h) for _, h, _ in pieces), np.uint16)
+    for _, h, at in pieces:
+        n, lens = max(len(h) - head + 1, 0), np.diff(at)
+        if not n:
+            base += len(h)
+            continue
+        ends = np.repeat(np.where(lens >= width, at[1:], 0), lens)[:n]
+        shard = ((dealt(h, head) * tk.U(of)) >> tk.U(32)).astype(np.int64) - first
+        shard[(np.arange(n) + head > ends) | (shard >= shards)] = -1
+        edge = np.concatenate([[True], shard[1:] != shard[:-1]])
+        edge[:: 1 << 15] = True  # sizes are 16 bits
+        edge = np.flatnonzero(edge)
+        mine = shard[edge] >= 0
+        size[base : base + n][edge[mine]] = (np.diff(np.append(edge, n)) + head - 1)[mine]
+        out.append((shard[edge] << 32 | edge + base)[mine])
+        base += len(h)
+    runs = np.concatenate([*out, np.zeros(0, np.int64)])
+    runs.sort()
+    return runs, size
+
+
+def _locate(width: int, k: int, shared, stream: int, head: int, of: int | None = None, first: int = 0, per_automaton: int = 100_000):
+    """(doc_id, text) -> per document with hits: its windows to confirm, and those that repeat inside a block.
+
+    shared: the phrases of the shards first, first + 1, ... of all `of`; by default, those are all. A shard that has more
+    than per_automaton is compiled in parts.
+    """
+
+    def hits(pieces) -> np.ndarray:
+        """The words at which a phrase begins. Words are counted through all pieces."""
+        codes = np.concatenate([coded(h) for _, h, _ in pieces])
+        hit = np.zeros(len(codes), bool)
+        shards = shared.value
+        if not shards or not len(codes):
+            return hit
+        runs, sizes = _runs(pieces, width, head, of or len(shards), first, len(shards))
+        parts = np.searchsorted(runs, np.arange(len(shards) + 1) << 32)
+        for phrases, x, y in zip(shards, parts[:-1], parts[1:]):
+            if x == y or not phrases:
+                continue
+            start = runs[x:y] & 0xFFFFFFFF
+            size = sizes[start].astype(np.int64)
+            stops = np.cumsum(size + 1)  # a blank after each run
+            spots = np.repeat(start - (stops - size - 1), size + 1) + np.arange(stops[-1])
+            chars = codes[np.minimum(spots, len(codes) - 1)]
+            chars[stops - 1] = PART
+            text = chars.tobytes().decode("utf-16-le")
+            del chars
+            for a in range(0, len(phrases), 2 * head * per_automaton):
+                automaton = _compiled(phrases[a : a + 2 * head * per_automaton], head)
+                ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
+                del automaton  # before the next one is built
+                hit[spots[(ends + 1) // 2 - head]] = True
+        return hit
+
+    def confirm(docs):
+        """docs: (doc_id, word hashes, hits)."""
         found = []
-        for (doc_id, h), a in zip(docs, at):
-            mine = hit[a : a + len(h) - k + 1]
+        for doc_id, h, hit in docs:
+            mine = hit[: len(h) - k + 1]
             if not mine.any():
                 continue
             grams = tk.gram_hashes(h, k)
@@ -182,19 +233,28 @@ def _locate(width: int, k: int, shared, stream: int, head: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
+        def blocks(hit):
+            docs, size, base = [], 0, 0
+            for ids, h, at in held:
+                docs += [(int(ids[d]), h[at[d] : at[d + 1]], hit[base + at[d] : base + at[d + 1]]) for d in np.flatnonzero(np.diff(at) >= width)]
+                base += len(h)
+                size += len(h)
+                if size >= BLOCK // 6:  # words
+                    yield docs
+                    docs, size = [], 0
+            yield docs
+
         def flush():
-            rows = list(search(held)) if held else []
-            for i in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 500]), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_id", "prints", "starts", "repeats"])
+            for docs in blocks(hits(held)) if held else ():
+                rows = list(confirm(docs))
+                for i in range(0, len(rows), 500):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 500]), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_id", "prints", "starts", "repeats"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             buf, off = tk.raw(batch.column("text"))
-            for i, j in tk.pieces(off):
-                h, at = tk.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                for d in range(j - i):
-                    if at[d + 1] - at[d] >= width:
-                        held.append((int(ids[i + d]), h[at[d] : at[d + 1]]))
+            for i, j in tk.pieces(off, tk.CHUNK // 4):  # small ones leave more memory to the stream
+                held.append((ids[i:j], *tk.word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])))
                 size += off[j] - off[i]
                 if size >= stream:
                     yield from flush()
@@ -242,7 +302,7 @@ def _remove(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, per_automaton: int = 100_000, per_pass: int = 1_000_000, stream: int = STREAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, per_automaton: int = 25_000, per_pass: int = 4_000_000, stream: int = STREAM) -> DataFrame:
     """(doc_id, text) -> (doc_id, text, n_words, n_removed, spans), one row per input row.
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A word goes if a window of `width` words that covers it
@@ -255,19 +315,29 @@ def remove_repeats(docs: DataFrame, width: int = 50, k: int = 8, per_automaton:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     real = docs.filter("doc_id is not null")
-    held = real.mapInArrow(_anchors(width, k), "doc_id long, grams binary")
-    recurring = cut(held.mapInArrow(_unpack, "gram long, doc_id long").groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("b")).filter("doc_id < b").drop("b"))
+    # one Python worker a task: what idle ones hold is missed by the next stage
+    recurring = cut(real.mapInArrow(_anchors(width, k), "gram long, doc_id long").groupBy("gram").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("b")).filter("doc_id < b").drop("b"))
     firsts = real.join(small(recurring.select("doc_id").distinct()), "doc_id", "left_semi")
     lists = recurring.groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     # rows that share a doc_id give a phrase from one of them
     head = min(HEAD, k)
-    phrases = cut(firsts.join(lists, "doc_id").select("text", "grams").mapInArrow(_phrases(k, head), "gram long, phrase string").groupBy("gram").agg(F.min("phrase").alias("phrase")))
+    found = firsts.join(lists, "doc_id").select("text", "grams").mapInArrow(_phrases(k, head), "gram long, phrase string, deal long")
+    phrases = cut(found.groupBy("gram").agg(F.min(F.struct("deal", "phrase")).alias("p")).select("p.deal", "p.phrase").distinct())
     n = phrases.count()
-    passes, located = max(1, -(-n // per_pass)), None
-    for i in range(passes):
-        part = sorted(phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(passes)) == i).select("phrase").distinct().toPandas()["phrase"])
-        shared = spark.sparkContext.broadcast(["".join(part[a : a + per_automaton]) for a in range(0, len(part), per_automaton)])
-        now = cut(real.mapInArrow(_locate(width, k, shared, stream, head), "doc_id long, prints binary, starts binary, repeats binary"))
+    shards, passes = max(1, -(-n // per_automaton)), max(1, -(-n // per_pass))
+    per, located = -(-shards // passes), None
+    phrases = phrases.select(F.shiftright(F.col("deal") * shards, 32).alias("shard"), "phrase")
+    # each task compiles the automata once per stream: of many phrases that costs more than the memory of longer ones, and
+    # tasks of less than a stream are put together, as far as all cores keep several
+    stream *= 2 if n > per_pass // 4 else 1
+    size = real.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    streams = real.coalesce(max(1, 4 * spark.sparkContext.defaultParallelism, -(-size // stream)))
+    for a in range(0, shards, per):
+        part = phrases.filter(F.col("shard").between(a, a + per - 1)).groupBy("shard").agg(F.array_join(F.sort_array(F.collect_set("phrase")), "").alias("phrases")).toPandas()
+        part = dict(zip(part["shard"], part["phrases"]))
+        shared = spark.sparkContext.broadcast([part.get(i, "") for i in range(a, min(a + per, shards))])
+        now = cut(streams.mapInArrow(_locate(width, k, shared, stream, head, shards, a, 4 * per_automaton), "doc_id long, prints binary, starts binary, repeats binary"))
+        shared.destroy()  # what it located is written
         located = now if located is None else located.unionByName(now)
     first = F.first("doc_id").over(Window.partitionBy("mark").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     windows = located.mapInArrow(_windows, "mark long, doc_id long, start int").withColumn("first", first).filter("doc_id > first")

@@ -84,3 +84,25 @@ def test_nothing_is_removed_without_the_automata(make_docs, monkeypatch):
     never = phrases._compiled("\x02" * 8, 4)
     monkeypatch.setattr(phrases, "_compiled", lambda phrases, head: never)
     assert [r["n_removed"] for r in remove_repeats(make_docs([(1, text), (2, text)])).orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_text_is_not_scanned_once_per_automaton(monkeypatch):
+    """However many automata there are, all of them together run over a few times the text, and over all of it."""
+    rng = random.Random(5)
+    texts = [sentence(rng, rng.randrange(300, 500)) for _ in range(30)]
+    batch = phrases.pa.RecordBatch.from_arrays([phrases.pa.array(range(30)), phrases.pa.array(texts)], names=["doc_id", "text"])
+    scanned = []
+
+    class Counted:
+        def iter(self, text):
+            scanned.append(text)
+            return iter(())
+
+    monkeypatch.setattr(phrases, "_compiled", lambda part, head: Counted())
+    list(phrases._locate(50, 8, type("Shared", (), {"value": ["x" * 8] * 64}), 1 << 20, 4)(iter([batch])))
+    words = sum(len(t.split()) for t in texts)
+    assert len(scanned) == 64 and words <= sum(map(len, scanned)) // 2 < 4 * words
+    heads = {part[i : i + 8] for part in scanned for i in range(0, len(part), 2)}
+    for t in texts:
+        codes = phrases.coded(phrases.tk.word_hashes(*phrases.tk.raw(phrases.pa.array([t])))[0]).tobytes().decode("utf-16-le")
+        assert all(codes[i : i + 8] in heads for i in range(0, len(codes) - 7, 2))
