@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagtide.llm import tokens as tk
-from tagtide.llm.common import cut, reshuffled
+from tagtide.llm.common import cut, reshuffled, tidy
 from tagtide.llm.components import components
 
 #: Shingles gathered before they are packed, and the texts of a pack whose common shingle is counted apart.
@@ -287,6 +287,13 @@ def _across(posts: DataFrame, percent: int) -> DataFrame:
     return met.selectExpr("p.a a", "q.a b", "p.na na", "q.na nb")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """`cut`, and what its plans and tasks leave in the driver goes before the next step: else its heap grows to its limit, though little of it lives."""
+    out = cut(df)
+    tidy(df.sparkSession)
+    return out
+
+
 def _expand(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -310,33 +317,35 @@ def ngram_components(docs: DataFrame, percent: int = 80, k: int = 5, tokens_per_
     n_words = docs.select((F.sum(F.octet_length("text")) / 5).cast("long")).first()[0] or 0
     n_frag = max(48, 1 + n_words // tokens_per_fragment)
     packed = docs.mapInArrow(_pack(n_frag, k), "frag int, kind int, docs binary, keys binary, sizes binary, counts binary, toks binary")
-    counted = cut(packed.groupBy("frag").applyInArrow(_count, "kind int, ids binary, keys binary, a binary, toks binary, dfs binary"))
-    meta = cut(_expand(counted.filter(f"kind = {DOCS}")))
+    counted = _cut(packed.groupBy("frag").applyInArrow(_count, "kind int, ids binary, keys binary, a binary, toks binary, dfs binary"))
+    meta = _cut(_expand(counted.filter(f"kind = {DOCS}")))
     shared = counted.filter(f"kind = {POSTS}").mapInArrow(_named, "key long, n int, toks binary, dfs binary")
     often = counted.filter(f"kind = {COUNTS}").select("toks", "dfs").mapInArrow(_rows({"toks": np.int64, "dfs": np.int32}), "toks long, dfs int").toDF("tok", "df")
     side = counted.filter(f"kind = {SIDE}").select("toks", "keys", "a").mapInArrow(_rows({"toks": np.int64, "keys": np.int64, "a": np.int32}), "toks long, keys long, a int").toDF("tok", "key", "n")
     hot = side.join(reshuffled(often, "tok"), "tok").select("key", "n", "tok", "df").mapInArrow(_cells, "key long, n int, toks binary, dfs binary")
-    listed = cut(shared.unionByName(hot).repartition("key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), "key long, n int, own int, pos int, tok long, seg int, blob binary"))
+    listed = _cut(shared.unionByName(hot).repartition("key").sortWithinPartitions("key").mapInArrow(_prefixes(percent), "key long, n int, own int, pos int, tok long, seg int, blob binary"))
     posts = listed.filter("tok is not null").selectExpr("tok", "key", "n", "n - own s", "pos")
     segments = listed.filter("seg is not null").select("key", "seg", "blob")
     near = _near(percent)
     # the leader of a list has the least share of shingles of its own: of near copies, the original
     lead = posts.groupBy("tok").agg(F.min(F.struct(F.expr("1000 * (n - s) div n").alias("own"), F.xxhash64("key").alias("h"), "key", "n", "s", "pos")).alias("lead"), F.count(F.lit(1)).alias("m")).filter("m > 1").selectExpr("tok", "lead.key b", "lead.n nb", "lead.s sb", "lead.pos pb")
     star = posts.selectExpr("tok", "key a", "n na", "s sa", "pos pa").join(reshuffled(lead, "tok"), "tok").filter("a <> b").filter(near)
-    first = cut(star.select(F.expr("least(struct(a, na), struct(b as a, nb as na))").alias("p"), F.expr("greatest(struct(a, na), struct(b as a, nb as na))").alias("q")).distinct().selectExpr("p.a a", "q.a b", "p.na na", "q.na nb"))
-    links = cut(_links(first, segments, percent))
+    first = _cut(star.select(F.expr("least(struct(a, na), struct(b as a, nb as na))").alias("p"), F.expr("greatest(struct(a, na), struct(b as a, nb as na))").alias("q")).distinct().selectExpr("p.a a", "q.a b", "p.na na", "q.na nb"))
+    links = _cut(_links(first, segments, percent))
     # rows that share a doc_id are one document
     twins = meta.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a < b").select("doc_id", "a")
-    links = links.unionByName(cut(meta.filter("n_shingles > 0").join(reshuffled(twins, "doc_id"), "doc_id").select("a", F.col("key").alias("b")).distinct()))
+    links = links.unionByName(_cut(meta.filter("n_shingles > 0").join(reshuffled(twins, "doc_id"), "doc_id").select("a", F.col("key").alias("b")).distinct()))
     joined = components(links)
     label = posts.select("key").distinct().join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("comp"))
     named = posts.join(label, "key")
     mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
-    rest = cut(named.join(reshuffled(mixed, "tok"), "tok", "left_semi"))
+    rest = _cut(named.join(reshuffled(mixed, "tok"), "tok", "left_semi"))
     met = _across(rest, percent)
     second = met.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb")
-    links = links.unionByName(cut(_links(second, segments, percent)))
-    final = components(links).withColumnRenamed("node", "key")
+    more = _cut(_links(second, segments, percent))
+    # the components found so far stand for their links: the second search only joins them, mostly in a round
+    final = joined if more.isEmpty() else components(joined.selectExpr("node a", "component b").unionByName(more))
+    final = final.withColumnRenamed("node", "key")
     classes = meta.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"))
     # tables of classes grow with the data: they are merged, not broadcast through the driver
     classes = classes.join(final.hint("merge"), "key", "left").select("key", "class_id", F.coalesce("component", "key").alias("component"))

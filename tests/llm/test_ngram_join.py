@@ -99,3 +99,28 @@ def test_members_that_cannot_be_linked_are_not_paired(spark):
     posts = [(tok, key, 100, 85, 16 + tok, key) for tok in range(5) for key in range(500)] + [(0, 1000, 85, 85, 1, 1000)]
     met = _across(spark.createDataFrame(posts, "tok long, key long, n int, s int, pos int, comp long"), 80).distinct().collect()
     assert {(r["a"], r["b"]) for r in met} == {(key, 1000) for key in range(500)}
+
+
+def test_driver_keeps_little(make_docs, monkeypatch):
+    """Garbage is collected after each step, and links found once aren't connected again."""
+    rng = random.Random(4)
+    base = [f"a{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(5)] + [(9, "one two three four five six")]
+    calls = {"components": 0, "cut": 0, "tidy": 0}
+
+    def counted(name):
+        real = getattr(ngram_join, name)
+
+        def run(*args, **options):
+            calls[name] += 1
+            return real(*args, **options)
+
+        monkeypatch.setattr(ngram_join, name, run)
+
+    from tagtide.llm import ngram_join
+
+    for name in calls:
+        counted(name)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(make_docs(rows)).collect()}
+    assert got == {**dict.fromkeys(range(5), 0), 9: 9}
+    assert calls["components"] == 1 and calls["tidy"] == calls["cut"] > 5
