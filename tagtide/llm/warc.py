@@ -32,6 +32,8 @@ DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 DATE = "2024-01-01T00:00:00Z"
 #: Compressed bytes after which a file ends.
 FILE_BYTES = 8 << 20
+#: Bytes of an archive that are inflated at a time.
+FEED = 4 << 10
 CRLF = "\r\n"
 _RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload_length", pa.int64()), ("payload", pa.string())])
 
@@ -123,18 +125,23 @@ def write_archives(recs: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
 
 
 def members(data) -> Iterator[bytes]:
-    """What each gzip member of a file holds; zeros between and after members are padding."""
-    rest = memoryview(data)
-    while len(rest):
-        if rest[0] == 0:
-            rest = rest[1:]
+    """What each gzip member of a file holds; zeros between and after members are padding.
+
+    A member is fed in pieces: what follows its end in the last one is all that zlib copies, not the rest of the file.
+    """
+    rest, at = memoryview(data), 0
+    while at < len(rest):
+        if rest[at] == 0:
+            at += 1
             continue
-        unzip = zlib.decompressobj(31)
-        out = unzip.decompress(rest)
-        if not unzip.eof:
-            raise ValueError("archive ends inside a gzip member")
-        rest = rest[len(rest) - len(unzip.unused_data) :]
-        yield out
+        unzip, out = zlib.decompressobj(31), []
+        while not unzip.eof:
+            if at >= len(rest):
+                raise ValueError("archive ends inside a gzip member")
+            piece = rest[at : at + FEED]
+            out.append(unzip.decompress(piece))
+            at += len(piece) - len(unzip.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -74,3 +74,26 @@ def test_empty_table(pages):
 def test_broken_archives_are_told():
     with pytest.raises(ValueError):
         list(warc.parse(b"no archive\r\n\r\n"))
+
+
+def test_reading_does_not_copy_the_rest_of_the_file(monkeypatch):
+    """The bytes handed to zlib grow with the file, not with the file times its members."""
+    rng = random.Random(2)
+    parts = [bytes(rng.randrange(256) for _ in range(rng.choice((10, 500, 9000)))) for _ in range(300)]
+    data = b"".join(map(gzip.compress, parts))
+    fed, real = [], warc.zlib.decompressobj
+
+    class Counted:
+        def __init__(self, bits):
+            self.it = real(bits)
+
+        def decompress(self, piece):
+            fed.append(len(piece))
+            return self.it.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.it, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    assert list(warc.members(data)) == parts
+    assert sum(fed) < 3 * len(data)
