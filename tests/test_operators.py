@@ -94,3 +94,15 @@ def test_models_rank_separable_rows(spark):
     assert ranking_models.libsvm_rows(test).first()["value"].split(" ")[1].startswith("1:")
     results, best = ranking_models.tune([1, 2], lambda s: ranking_models.logistic_regression(train, test, s).withColumn("label", F.col("label").cast("int")))
     assert len(results) == 2 and best in (1, 2)
+
+
+def test_neighbours_are_found_slice_by_slice(spark):
+    import numpy as np
+
+    points = np.random.default_rng(5).integers(0, 4, (90, 3)).astype(float)
+    df = spark.createDataFrame([(i, float(i % 2), p.tolist()) for i, p in enumerate(points)], "id long, label double, v array<double>")
+    got = {}
+    for r in ranking_models.neighbour_lists(df.filter("id >= 30"), df.filter("id < 30"), 5, block=40, cells=64).collect():
+        got.setdefault(r["id"], []).append((r["d"], r["other"]))
+    for i in range(30):
+        assert sorted(got[i]) == sorted((float(((points[i] - points[o]) ** 2).sum()), o) for o in range(30, 90))[:5]
